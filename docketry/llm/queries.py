@@ -16,6 +16,7 @@ from docketry.llm.quality import score_quality
 from docketry.llm.sharding import shard_uniformly
 from docketry.llm.simhash import simhash_components
 from docketry.llm.tokens import token_digest, write_tokens
+from docketry.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,6 +50,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), TOKENIZER, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted, "evidence")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(read_table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op7_token_output": op7_token_output,
     "op8_bpe": op8_bpe,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
