@@ -22,7 +22,7 @@ from docketry.llm.common import byte_texts, require, steps
 
 #: Words of letters that are NFC as they stand and lower-case one to one, with ASCII marks behind them.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 600_000
 
 
 class PairTable:
@@ -35,6 +35,11 @@ class PairTable:
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.known: dict[tuple[str, str], bool] = {}
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
+        #: longest token within a word that ends in given three characters
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            if len(t) > 2 and not (self.suffix and t.endswith(self.suffix)):
+                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
 
     def symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix):
@@ -70,7 +75,7 @@ class PrefixTreeEncoder:
     def encode(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Each distinct non-empty word with its tokens."""
         pairs, vocab, longest, suffix = self.pairs, self.pairs.vocab, self.pairs.longest, self.pairs.suffix
-        known, fits = pairs.known, pairs.fits
+        known, fits, reach = pairs.known, pairs.fits, pairs.reach.get
         path: list[str] = [""]  # last token of each prefix of the word before; "" before the first character
         before = ""
         for word in sorted(set(words)):
@@ -79,7 +84,8 @@ class PrefixTreeEncoder:
                 shared += 1
             del path[shared + 1 :]
             for end in range(shared + 1, len(word)):
-                for start in range(max(0, end - longest), end):
+                most = reach(word[end - 3 : end], 2) if end > 2 else end
+                for start in range(end - most if end > most else 0, end):
                     token = word[start:end]
                     if token in vocab:
                         pair = (path[start], token)
@@ -123,7 +129,9 @@ class WordTokenizer:
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._cut = re.compile("|".join(f"({re.escape(t)})" for t in self.special)) if self.special else None
         self._bytes = {b: self._byte_char(b) for b in range(256)}
+        self._raw = {t: i.to_bytes(4, "little") for t, i in self.pairs.vocab.items()}
         self.kept: dict[bytes, tuple[bytes, str]] = {}
+        self.kept_pieces: dict[str, tuple[bytes, str]] = {}
 
     @staticmethod
     def _byte_char(b: int) -> str:
@@ -137,8 +145,11 @@ class WordTokenizer:
         """A word's pre-tokens in the byte alphabet; true marks a special token."""
         plain = _PLAIN.fullmatch(word)
         if plain and "×" not in word:
-            table = self._bytes
-            return [("".join([table[b] for b in p.lower().encode()]), False) for p in plain.groups() if p]
+            letters, marks = plain.groups()
+            letters = letters.lower()
+            if not letters.isascii():
+                letters = "".join([self._bytes[b] for b in letters.encode()])
+            return [(letters, False), (marks, False)] if marks else [(letters, False)]
         out: list[tuple[str, bool]] = []
         for part in self._cut.split(word) if self._cut else [word]:
             if part in self.special:
@@ -155,22 +166,20 @@ class WordTokenizer:
             return
         if len(self.kept) + len(new) > _CACHE_WORDS:
             self.kept.clear()
+            self.kept_pieces.clear()
             new = list(words)
+        known, raw = self.kept_pieces, self._raw
         cut = {w: self.pieces(w.decode()) for w in new}
-        encoded = dict(self.encoder.encode([p for parts in cut.values() for p, special in parts if not special and p]))
-        vocab = self.pairs.vocab
+        fresh = [p for parts in cut.values() for p, special in parts if p not in known and p and not special]
+        for piece, tokens in self.encoder.encode(fresh):
+            found = [t for t in tokens if t in raw]  # a character outside the vocabulary is dropped
+            known[piece] = (b"".join([raw[t] for t in found]), " ".join(found))
         for w, parts in cut.items():
-            tokens: list[str] = []
-            ids: list[int] = []
-            for piece, special in parts:
-                if special:
-                    tokens.append(piece)
-                    ids.append(self.special[piece])
-                elif piece:
-                    found = [t for t in encoded[piece] if t in vocab]  # a character outside the vocabulary is dropped
-                    tokens += found
-                    ids += [vocab[t] for t in found]
-            self.kept[w] = (np.array(ids, dtype="<u4").tobytes(), " ".join(tokens))
+            if len(parts) == 1 and not parts[0][1]:
+                self.kept[w] = known.get(parts[0][0], (b"", ""))
+                continue
+            found = [(self.special[p].to_bytes(4, "little"), p) if special else known[p] for p, special in parts if p]
+            self.kept[w] = (b"".join([ids for ids, _ in found]), " ".join([t for _, t in found if t]))
 
     def documents(self, texts: list[bytes]) -> Iterator[tuple[bytes, str]]:
         """Ids and decoded text of each text."""
