@@ -15,6 +15,7 @@ from docketry.llm.mixing import mixing_plan
 from docketry.llm.quality import score_quality
 from docketry.llm.sharding import shard_uniformly
 from docketry.llm.simhash import simhash_components
+from docketry.llm.substring import dedup_substrings
 from docketry.llm.tokens import token_digest, write_tokens
 from docketry.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -26,6 +27,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(read_table(spark, sf_dir, "documents"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -65,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op7_token_output": op7_token_output,
