@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.bpe import encode_decode
 from docketry.llm.common import read_table, scratch_root
+from docketry.llm.embeddings import near_vectors
 from docketry.llm.mixing import mixing_plan
 from docketry.llm.quality import score_quality
 from docketry.llm.sharding import shard_uniformly
@@ -46,6 +47,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(read_table(spark, sf_dir, "documents"), TOKENIZER, path)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_token_output": op7_token_output,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
