@@ -85,6 +85,7 @@ def _reach(group: pa.Table, threshold: float, shared: int) -> tuple[np.ndarray,
     pivot = np.uint64(1) << np.uint64(group.column("pivot")[0].as_py())
     x = np.stack([np.frombuffer(v, dtype="<f8") for v in group.column("unit").to_pylist()])
     common = masks[:, None] & masks[None, :]
+    shared = min(shared, int(np.bitwise_count(masks[0])))  # there may be fewer pivots than that
     near = (np.bitwise_count(common) >= shared) & ((common & (~common + np.uint64(1))) == pivot)
     if a != b:
         near &= shards[:, None] != shards[None, :]
