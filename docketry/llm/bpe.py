@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,6 @@ from docketry.llm.common import byte_texts, require, steps
 
 #: Words of letters that are NFC as they stand and lower-case one to one, with ASCII marks behind them.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)")
-_CACHE_WORDS = 600_000
 
 
 class PairTable:
@@ -108,30 +108,108 @@ class PrefixTreeEncoder:
             yield word, tokens[::-1]
 
 
-class WordTokenizer:
-    """Ids of whitespace-free words, as the tokenizers library gives them for a BPE file of this kind.
+class WordCache:
+    """Cuts texts at space and U+0009 to U+000D, where the tokenizers meant here always cut, and keeps what words
+    become: ids as little-endian 32-bit integers, and the tokens joined by spaces.
 
-    Texts are cut at space and U+0009 to U+000D, where such a tokenizer always cuts; each distinct word is
-    normalized and pre-tokenized by the library's own components and encoded by :class:`PrefixTreeEncoder`.
+    Lower and upper case ASCII letters are one to these tokenizers, and an ASCII mark behind a letter is a word
+    part of its own; so words are kept in lower case and without such a mark.  A word that may hold a special
+    token is looked up as it stands.  The number of words kept is bounded.
     """
 
+    most = 600_000
+
+    def __init__(self, special: list[str]) -> None:
+        self.kept: dict[bytes, tuple[bytes, str]] = {}
+        self._starts = tuple({t[:2].encode() for t in special})
+
+    def find(self, words: list[bytes]) -> list[tuple[bytes, str]]:
+        """What distinct words become; for subclasses."""
+        raise NotImplementedError
+
+    @staticmethod
+    def _mark_apart(word: bytes) -> bool:
+        """Whether the last byte is an ASCII mark right behind a letter of Latin-1."""
+        if len(word) < 2 or word[-1] > 126 or word[-1:].isalnum():
+            return False
+        return word[-2:-1].isalpha() or len(word) > 2 and word[-3] == 0xC3 and 0x80 <= word[-2] <= 0xBF and word[-2] not in (0x97, 0xB7)
+
+    def fill(self, words: set[bytes]) -> None:
+        kept = self.kept
+        new = [w for w in words if w not in kept]
+        if len(kept) + 2 * len(new) > self.most:
+            kept.clear()
+            new = list(words)
+        marked = [w for w in new if self._mark_apart(w) and not any(s in w for s in self._starts)]
+        apart = set(marked)
+        fresh = {w for w in new if w not in apart} | {w[:-1] for w in marked} | {w[-1:] for w in marked}
+        fresh = [w for w in fresh if w not in kept]
+        kept.update(zip(fresh, self.find(fresh)))
+        for w in marked:
+            (ids, text), (mark_ids, mark) = kept[w[:-1]], kept[w[-1:]]
+            kept[w] = (ids + mark_ids, f"{text} {mark}" if text and mark else text or mark)
+
+    def words_of(self, texts: list[bytes]) -> list[list[bytes]]:
+        cut = []
+        for t in texts:
+            if any(s in t for s in self._starts):
+                cut.append([w if any(s in w for s in self._starts) else w.lower() for w in t.split()])
+            else:
+                cut.append(t.lower().split())
+        self.fill(set().union(*cut))
+        return cut
+
+    def documents(self, texts: list[bytes]) -> Iterator[tuple[bytes, str]]:
+        """Ids and decoded text of each text."""
+        kept = self.kept
+        for words in self.words_of(texts):
+            found = [kept[w] for w in words]
+            yield b"".join([x for x, _ in found]), " ".join([y for _, y in found if y])
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        kept = self.kept
+        for words in self.words_of(texts):
+            yield b"".join([kept[w][0] for w in words])
+
+
+class LibraryTokenizer(WordCache):
+    """Words encoded by the tokenizers library itself."""
+
+    most = 900_000
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        super().__init__([t.content for t in self.library.get_added_tokens_decoder().values()])
+
+    def find(self, words: list[bytes]) -> list[tuple[bytes, str]]:
+        found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [(np.array(e.ids, dtype="<u4").tobytes(), "") for e in found]
+
+
+class WordTokenizer(WordCache):
+    """Words normalized and pre-tokenized by the library's own components and encoded by :class:`PrefixTreeEncoder`."""
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        model = self.spec["model"]
+            spec = json.load(f)
+        model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
             raise ValueError("a plain BPE model is needed")
         self.library = Tokenizer.from_file(path)
         self.pairs = PairTable(model)
         self.encoder = PrefixTreeEncoder(self.pairs)
-        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        super().__init__(list(self.special))
         self._cut = re.compile("|".join(f"({re.escape(t)})" for t in self.special)) if self.special else None
         self._bytes = {b: self._byte_char(b) for b in range(256)}
         self._raw = {t: i.to_bytes(4, "little") for t, i in self.pairs.vocab.items()}
-        self.kept: dict[bytes, tuple[bytes, str]] = {}
-        self.kept_pieces: dict[str, tuple[bytes, str]] = {}
 
     @staticmethod
     def _byte_char(b: int) -> str:
@@ -141,15 +219,14 @@ class WordTokenizer:
 
         return chr(b) if own(b) else chr(256 + sum(not own(x) for x in range(b)))
 
-    def pieces(self, word: str) -> list[tuple[str, bool]]:
+    def pieces(self, word: bytes) -> list[tuple[str, bool]]:
         """A word's pre-tokens in the byte alphabet; true marks a special token."""
+        if word.isalpha():
+            return [(word.lower().decode(), False)]
+        word = word.decode()
         plain = _PLAIN.fullmatch(word)
         if plain and "×" not in word:
-            letters, marks = plain.groups()
-            letters = letters.lower()
-            if not letters.isascii():
-                letters = "".join([self._bytes[b] for b in letters.encode()])
-            return [(letters, False), (marks, False)] if marks else [(letters, False)]
+            return [("".join([self._bytes[b] for b in p.lower().encode()]), False) for p in plain.groups() if p]
         out: list[tuple[str, bool]] = []
         for part in self._cut.split(word) if self._cut else [word]:
             if part in self.special:
@@ -159,46 +236,27 @@ class WordTokenizer:
                 out += [(p, False) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        """Make ``kept`` hold every one of ``words``: its ids as little-endian 32-bit integers, its tokens joined by spaces."""
-        new = [w for w in words if w not in self.kept]
-        if not new:
-            return
-        if len(self.kept) + len(new) > _CACHE_WORDS:
-            self.kept.clear()
-            self.kept_pieces.clear()
-            new = list(words)
-        known, raw = self.kept_pieces, self._raw
-        cut = {w: self.pieces(w.decode()) for w in new}
-        fresh = [p for parts in cut.values() for p, special in parts if p not in known and p and not special]
-        for piece, tokens in self.encoder.encode(fresh):
+    def find(self, words: list[bytes]) -> list[tuple[bytes, str]]:
+        raw, known = self._raw, {}
+        cut = [self.pieces(w) for w in words]
+        for piece, tokens in self.encoder.encode([p for parts in cut for p, special in parts if p and not special]):
             found = [t for t in tokens if t in raw]  # a character outside the vocabulary is dropped
             known[piece] = (b"".join([raw[t] for t in found]), " ".join(found))
-        for w, parts in cut.items():
-            if len(parts) == 1 and not parts[0][1]:
-                self.kept[w] = known.get(parts[0][0], (b"", ""))
-                continue
+        out = []
+        for parts in cut:
             found = [(self.special[p].to_bytes(4, "little"), p) if special else known[p] for p, special in parts if p]
-            self.kept[w] = (b"".join([ids for ids, _ in found]), " ".join([t for _, t in found if t]))
-
-    def documents(self, texts: list[bytes]) -> Iterator[tuple[bytes, str]]:
-        """Ids and decoded text of each text."""
-        cut = [t.split() for t in texts]
-        self.learn(set().union(*cut))
-        kept = self.kept
-        for words in cut:
-            found = [kept[w] for w in words]
-            yield b"".join([x for x, _ in found]), " ".join([y for _, y in found if y])
+            out.append(found[0] if len(found) == 1 else (b"".join([ids for ids, _ in found]), " ".join([t for _, t in found if t])))
+        return out
 
 
-_LOADED: dict[str, WordTokenizer] = {}
+_LOADED: dict[tuple[type, str], WordCache] = {}
 
 
-def load_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer for each file in a worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
+def load_tokenizer(path: str, kind: type[WordCache] = WordTokenizer) -> WordCache:
+    """One tokenizer of a kind for each file in a worker process."""
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
 
 _FIELDS = {"ids": "ids array<int>", "decoded": "decoded string", "n_tokens": "n_tokens long", "ids_sha256": "ids_sha256 string", "decoded_sha256": "decoded_sha256 string"}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.llm.bpe import load_tokenizer
+from docketry.llm.bpe import LibraryTokenizer, load_tokenizer
 from docketry.llm.common import byte_texts, require, steps
 
 
@@ -26,11 +26,11 @@ def tokenize_sorted(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFra
     require(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, row = load_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        words, part, row = load_tokenizer(tokenizer, LibraryTokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for some in steps(batch, "text"):
-                ids = [x + end for x, _ in words.documents(byte_texts(some.column("text")))]
+                ids = [x + end for x in words.ids(byte_texts(some.column("text")))]
                 counts = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
