@@ -90,7 +90,7 @@ class FingerprintIndex:
     :func:`index_for`.  Runs lie in the shared folder until :meth:`drop`.
     """
 
-    def __init__(self, spark: SparkSession, n_words: int = 13, buckets: int = 256, groups: int = 256, fanout: int = 2) -> None:
+    def __init__(self, spark: SparkSession, n_words: int = 13, buckets: int = 256, groups: int = 256, fanout: int = 1) -> None:
         if buckets & (buckets - 1):
             raise ValueError("buckets must be a power of two")
         self.spark, self.n, self.buckets, self.groups, self.fanout = spark, n_words, buckets, groups, fanout
@@ -126,10 +126,12 @@ class FingerprintIndex:
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENTRY)
 
-    def ingest(self, docs: DataFrame) -> DataFrame:
+    def ingest(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Add ``docs (doc_id, text)`` and return ``group, docs, prints``: packed pairs of a document and a
-        fingerprint in it that a smaller doc_id of this batch, or any document of an earlier one, has too."""
-        groups, compact = self.groups, len(self.runs) >= self.fanout
+        fingerprint in it that a smaller doc_id of this batch, or any document of an earlier one, has too.
+
+        With ``keep=False`` the batch is matched and leaves nothing behind, for when no other will follow."""
+        groups, compact = self.groups, keep and len(self.runs) >= self.fanout
         rows = self._entries(docs.where("doc_id is not null"))
         for r in self.runs:
             rows = rows.unionByName(r)
@@ -170,7 +172,7 @@ class FingerprintIndex:
                     new, new_checks = np.concatenate((old, new)), np.concatenate((old_checks, new_checks))
                     order = np.lexsort((new_checks, new))
                     new, new_checks = new[order], new_checks[order]
-                if len(new):
+                if keep and len(new):
                     out.append((bucket, 0, b"", pack(new), pack(new_checks)))
                 yield _rows(out)
 
@@ -178,9 +180,10 @@ class FingerprintIndex:
         merged = materialize(merged, "fingerprints", partition_by="kind")
         if compact:
             self.drop()
-        fresh = merged.where("kind = 0")
-        fresh._scratch_path = f"{merged._scratch_path}/kind=0"
-        self.runs.append(fresh)
+        if keep:
+            fresh = merged.where("kind = 0")
+            fresh._scratch_path = f"{merged._scratch_path}/kind=0"
+            self.runs.append(fresh)
         del rows
         gc.collect()
         self.spark._jvm.System.gc()  # lets go of the batch's shuffle files
@@ -255,7 +258,7 @@ def _kept(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def dedup_substrings(docs: DataFrame, n_words: int = 13, batches: int = 3, fanout: int = 2) -> DataFrame:
+def dedup_substrings(docs: DataFrame, n_words: int = 13, batches: int = 3, fanout: int = 1) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_removed, kept_text``.
 
     Every word goes that lies in a window of ``n_words`` words whose words also stand, as a window, in a document
@@ -272,7 +275,7 @@ def dedup_substrings(docs: DataFrame, n_words: int = 13, batches: int = 3, fanou
     hits = None
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = docs.where(F.lit(True) if low is None else F.col("doc_id") > low).where(F.lit(True) if high is None else F.col("doc_id") <= high)
-        found = index.ingest(part)
+        found = index.ingest(part, keep=high is not None)
         hits = found if hits is None else hits.unionByName(found)
     index.drop()
     return remove_repeats(docs, hits, n_words, index.groups)
