@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docketry.llm.bpe import encode_decode
 from docketry.llm.common import read_table, scratch_root
 from docketry.llm.embeddings import near_vectors
+from docketry.llm.lines import repeated_lines
 from docketry.llm.mixing import mixing_plan
 from docketry.llm.quality import score_quality
 from docketry.llm.sharding import shard_uniformly
@@ -23,6 +24,12 @@ from docketry.llm.toxicity import fit_toxicity, held_out, score_toxicity
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = repeated_lines(docs).withColumn("n_removed", F.size("removed").cast("long"))
+    return found.select("doc_id", "n_lines", "n_removed", F.col("removed.line_no").alias("removed_lines"), "removed.of_doc", "removed.of_line")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -75,6 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
