@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import TextBlock, byte_texts, covered, discard, inside, materialize, require, steps, window_hash
+from docketry.llm.common import TextBlock, arrow_batches, byte_texts, covered, discard, inside, materialize, require, steps, window_hash
 
 _ENTRY = "bucket long, kind int, docs binary, prints binary, checks binary"
 _CHECK_BASE = 0xD1342543DE82EF95
@@ -103,7 +103,7 @@ class FingerprintIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in steps(batch, "text", 4 << 20):
+                for part in steps(batch, "text", 2 << 20):
                     ids = np.asarray(part.column("doc_id")).astype(np.int64)
                     order = np.argsort(ids, kind="stable")
                     texts = byte_texts(part.column("text"))
@@ -177,7 +177,8 @@ class FingerprintIndex:
                 yield _rows(out)
 
         merged = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _ENTRY)
-        merged = materialize(merged, "fingerprints", partition_by="kind")
+        with arrow_batches(self.spark, 1000, 16 << 20):  # a row of packed fingerprints is large
+            merged = materialize(merged, "fingerprints", partition_by="kind")
         if compact:
             self.drop()
         if keep:
