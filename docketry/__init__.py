@@ -1 +1 @@
-"""Court-ruling analytics and training-data operators on Spark DataFrames."""
+"""Court-ruling analytics on Spark: text to fields, idempotent loads, list queries, judge analytics, ranked search."""
