@@ -26,7 +26,9 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)")
 
 
 class PairTable:
-    """Which tokens may follow each other, by encoding their strings together; kept once known."""
+    """Which tokens may follow each other, by encoding their strings together; a bounded number is kept once known."""
+
+    most = 400_000
 
     def __init__(self, model: dict) -> None:
         self.vocab: dict[str, int] = model["vocab"]
@@ -62,6 +64,8 @@ class PairTable:
         if found is None:
             want = [left, right] if left else [right]
             found = self.merged([s for t in want for s in self.symbols(t)]) == want
+            if len(self.known) >= self.most:
+                self.known.clear()
             self.known[left, right] = found
         return found
 
@@ -117,7 +121,7 @@ class WordCache:
     token is looked up as it stands.  The number of words kept is bounded.
     """
 
-    most = 600_000
+    most = 350_000
 
     def __init__(self, special: list[str]) -> None:
         self.kept: dict[bytes, tuple[bytes, str]] = {}
