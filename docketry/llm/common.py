@@ -31,11 +31,37 @@ def scratch_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Within it, the session has other settings."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def arrow_batches(rows: int, size: int) -> dict[str, str]:
+    """Settings by which Arrow batches hold at most that many rows and about ``size`` bytes."""
+    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+
+
+#: Shuffle files go when the job that wrote them is over.
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What the job shuffled is deleted when it is done; its result doesn't need that any more."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    with settings(spark, _TIDY):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -50,20 +76,6 @@ def discard(df: DataFrame) -> None:
         hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
-    """Within it, Arrow batches of the jobs that run hold at most that many rows and about ``size`` bytes."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text as a long; null texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

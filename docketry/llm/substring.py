@@ -8,7 +8,6 @@ the same merge writes them all as one.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import TextBlock, arrow_batches, byte_texts, covered, discard, inside, materialize, require, steps, window_hash
+from docketry.llm.common import TextBlock, arrow_batches, byte_texts, covered, discard, inside, materialize, require, settings, steps, window_hash
 
 _ENTRY = "bucket long, kind int, docs binary, prints binary, checks binary"
 _CHECK_BASE = 0xD1342543DE82EF95
@@ -177,7 +176,7 @@ class FingerprintIndex:
                 yield _rows(out)
 
         merged = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _ENTRY)
-        with arrow_batches(self.spark, 1000, 16 << 20):  # a row of packed fingerprints is large
+        with settings(self.spark, arrow_batches(1000, 16 << 20)):  # a row of packed fingerprints is large
             merged = materialize(merged, "fingerprints", partition_by="kind")
         if compact:
             self.drop()
@@ -185,9 +184,6 @@ class FingerprintIndex:
             fresh = merged.where("kind = 0")
             fresh._scratch_path = f"{merged._scratch_path}/kind=0"
             self.runs.append(fresh)
-        del rows
-        gc.collect()
-        self.spark._jvm.System.gc()  # lets go of the batch's shuffle files
         return merged.where("kind = 2").select((-1 - F.col("bucket")).alias("group"), "docs", "prints")
 
     def drop(self) -> None:
