@@ -14,6 +14,7 @@ from docketry.llm.common import read_table, scratch_root
 from docketry.llm.embeddings import near_vectors
 from docketry.llm.lines import repeated_lines
 from docketry.llm.mixing import mixing_plan
+from docketry.llm.oracles import EMBEDDINGS_SQL, quality_sql, substring_sql
 from docketry.llm.quality import score_quality
 from docketry.llm.sharding import shard_uniformly
 from docketry.llm.simhash import simhash_components
@@ -94,4 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": substring_sql(),
+    "op4_quality_rules": quality_sql(),
+    "op6_embedding_near_dedup": EMBEDDINGS_SQL,
+}
