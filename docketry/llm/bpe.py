@@ -9,10 +9,12 @@ share at their start is worked out once.  Words end in a suffixed character, a c
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from docketry.llm.common import byte_texts, require, steps
 
 #: Words of letters that are NFC as they stand and lower-case one to one, with ASCII marks behind them.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)")
+#: An ASCII mark right behind a letter of Latin-1, at the end.
+_MARK_APART = re.compile(rb".*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[!-/:-@\[-`{-~]", re.DOTALL).fullmatch
 
 
 class PairTable:
@@ -131,20 +135,13 @@ class WordCache:
         """What distinct words become; for subclasses."""
         raise NotImplementedError
 
-    @staticmethod
-    def _mark_apart(word: bytes) -> bool:
-        """Whether the last byte is an ASCII mark right behind a letter of Latin-1."""
-        if len(word) < 2 or word[-1] > 126 or word[-1:].isalnum():
-            return False
-        return word[-2:-1].isalpha() or len(word) > 2 and word[-3] == 0xC3 and 0x80 <= word[-2] <= 0xBF and word[-2] not in (0x97, 0xB7)
-
     def fill(self, words: set[bytes]) -> None:
         kept = self.kept
         new = [w for w in words if w not in kept]
         if len(kept) + 2 * len(new) > self.most:
             kept.clear()
             new = list(words)
-        marked = [w for w in new if self._mark_apart(w) and not any(s in w for s in self._starts)]
+        marked = [w for w in new if _MARK_APART(w) and not any(s in w for s in self._starts)]
         apart = set(marked)
         fresh = {w for w in new if w not in apart} | {w[:-1] for w in marked} | {w[-1:] for w in marked}
         fresh = [w for w in fresh if w not in kept]
@@ -152,6 +149,8 @@ class WordCache:
         for w in marked:
             (ids, text), (mark_ids, mark) = kept[w[:-1]], kept[w[-1:]]
             kept[w] = (ids + mark_ids, f"{text} {mark}" if text and mark else text or mark)
+        if len(new) > 10_000:
+            gc.freeze()  # what is kept holds no cycles; it needn't be looked through again and again
 
     def words_of(self, texts: list[bytes]) -> list[list[bytes]]:
         cut = []
@@ -192,7 +191,7 @@ class LibraryTokenizer(WordCache):
 
     def find(self, words: list[bytes]) -> list[tuple[bytes, str]]:
         found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [(np.array(e.ids, dtype="<u4").tobytes(), "") for e in found]
+        return [(struct.pack(f"<{len(ids)}I", *ids), "") for ids in (e.ids for e in found)]
 
 
 class WordTokenizer(WordCache):
