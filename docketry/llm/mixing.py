@@ -11,6 +11,8 @@ from docketry.llm.common import materialize, require, word_count
 
 #: Bits of a document's random number that name its bucket: prefix sums run over buckets, then within each.
 BUCKET_BITS = 12
+#: Rows of an output shard that one task sorts.
+ROWS_PER_PART = 50_000
 
 
 def split_quotas(blocks: list[int], shards: int, seed: int) -> np.ndarray:
@@ -138,6 +140,9 @@ def mix_sources(docs: DataFrame, keep_shard: bool = False, **how) -> DataFrame:
     tagged = materialize(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-docs")
     plan = mixing_plan(tagged, row="__mix_row", **how).where("copies > 0")
     plan = plan.select(F.col("row").alias("__mix_row"), F.posexplode("shards").alias("__mix_copy", "mix_shard"))
-    out = tagged.join(plan, "__mix_row").repartition("mix_shard")
+    # a large shard comes in several parts, each a random share of it
+    parts = max(1, tagged.count() // (how.get("shards", 16) * ROWS_PER_PART))
+    part = [F.pmod(F.xxhash64(F.lit(seed + 1), "__mix_row", "__mix_copy"), F.lit(parts))] if parts > 1 else []
+    out = tagged.join(plan, "__mix_row").repartition("mix_shard", *part)
     out = out.sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed), "__mix_row", "__mix_copy"))
     return out.select(*docs.columns, *(["mix_shard"] if keep_shard else []))

@@ -253,6 +253,12 @@ def test_mixing_odd_rows(spark, odd):
     assert mixing.mix_sources(odd.limit(0)).count() == 0
 
 
+def test_mixing_in_parts(spark, odd, monkeypatch):
+    whole = mixing.mix_sources(odd, shards=1, keep_shard=True).collect()
+    monkeypatch.setattr(mixing, "ROWS_PER_PART", 3)
+    assert sorted(map(str, mixing.mix_sources(odd, shards=1, keep_shard=True).collect())) == sorted(map(str, whole))
+
+
 def test_split_quotas_add_up():
     quota = mixing.split_quotas([10, 0, 3, 40], 7, 1)
     assert quota.sum(axis=1).tolist() == [10, 0, 3, 40] and quota.sum(axis=0).max() - quota.sum(axis=0).min() <= 1
