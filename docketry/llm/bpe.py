@@ -32,7 +32,7 @@ _MARK_APART = re.compile(rb".*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[!-/
 class PairTable:
     """Which tokens may follow each other, by encoding their strings together; a bounded number is kept once known."""
 
-    most = 400_000
+    most = 200_000
 
     def __init__(self, model: dict) -> None:
         self.vocab: dict[str, int] = model["vocab"]
@@ -125,7 +125,7 @@ class WordCache:
     token is looked up as it stands.  The number of words kept is bounded.
     """
 
-    most = 350_000
+    most = 300_000
 
     def __init__(self, special: list[str]) -> None:
         self.kept: dict[bytes, tuple[bytes, str]] = {}
