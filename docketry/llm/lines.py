@@ -16,10 +16,12 @@ from docketry.llm.common import discard, materialize, require
 from docketry.llm.graph import connected_components
 
 MINIMA = 16
-#: How often lines from large buckets are banded again.
-FINER_LEVELS = 3
+#: Fresh minima, minima in a band, and bands, each time that lines from large buckets are banded again.
+FINER = [(64, 6, 32), (96, 8, 56)]
 #: Ids of lines that are sent to all executors at most (8 MB); more are met by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Lines on each side of a block of comparisons, about.
+BLOCK_LINES = 256
 #: Places of the grid that make up a band: rows, columns, and broken diagonals both ways.
 BANDS = [
     *[[4 * r + c for c in range(4)] for r in range(4)],
@@ -56,16 +58,16 @@ def _shingles(characters: str, k: int) -> Column:
     return F.expr(f"array_distinct(transform({steps}, i -> xxhash64(substring({characters}, i, {2 * k}))))")
 
 
-def minima(kinds: DataFrame, k: int) -> DataFrame:
-    """``id, m array<int>`` of lines ``(id, line)`` with ``k`` characters or more.
+def minima(kinds: DataFrame, k: int, start: int = 0, count: int = MINIMA) -> DataFrame:
+    """``id, m array<int>`` of lines ``(id, line)`` with ``k`` characters or more: ``count`` minima from the ``start``-th.
 
     The j-th minimum is taken over the shingles' hashes xor a fixed number, which is a random order of its own.
     """
     rows = kinds.where(F.char_length("line") >= k).select("id", F.expr(_characters("line")).alias("b"))
     rows = rows.select("id", "b", F.explode(F.sequence(F.lit(1), F.octet_length("b") - (2 * k - 1), F.lit(2))).alias("i"))
     rows = rows.select("id", F.expr(f"hash(substring(b, i, {2 * k}))").alias("h"))
-    found = rows.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.expr(f"hash({j}, 'order')"))).alias(f"m{j}") for j in range(MINIMA)])
-    return found.select("id", F.array(*[f"m{j}" for j in range(MINIMA)]).alias("m"))
+    found = rows.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.expr(f"hash({j}, 'order')"))).alias(f"m{j}") for j in range(start, start + count)])
+    return found.select("id", F.array(*[f"m{j}" for j in range(start, start + count)]).alias("m"))
 
 
 def alike(pairs: DataFrame, kinds: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -88,53 +90,81 @@ def alike(pairs: DataFrame, kinds: DataFrame, k: int, similarity: float) -> Data
     return found
 
 
-def finer_bands(size: int) -> list[list[int]]:
-    """Bands of ``size`` minima, drawn from all, the same each time."""
-    draw = random.Random(size)
-    return [sorted(draw.sample(range(MINIMA), size)) for _ in range(len(BANDS))]
+def finer_bands(level: int) -> list[list[int]]:
+    """Bands of a finer level over its own minima, each of which stands in about as many; the same each time."""
+    count, size, wanted = FINER[level]
+    draw, bands, left = random.Random(level), [], []
+    while len(bands) < wanted:
+        if len(left) < size:
+            left = draw.sample(range(count), count)
+        bands.append(sorted(left[:size]))
+        left = left[size:]
+    return bands
 
 
-def banded(signed: DataFrame, bands: list[list[int]]) -> DataFrame:
-    """``id, key``: the keys of each line's bands."""
+def banded(signed: DataFrame, bands: list[list[int]], *also: str) -> DataFrame:
+    """``id, key``: the keys of each line's bands, beside what is ``also`` wanted."""
     keys = [F.xxhash64(F.lit(n), *[F.col("m")[p] for p in places]) for n, places in enumerate(bands)]
-    return signed.select("id", F.explode(F.array(*keys)).alias("key"))
+    return signed.select("id", *also, F.explode(F.array(*keys)).alias("key"))
+
+
+def blocks(rest: DataFrame, members: DataFrame, most: int = BLOCK_LINES) -> DataFrame:
+    """``a, b``: every line of ``rest (key, id, open, n)`` with every other of its bucket in ``members``, where one is open.
+
+    Both sides of a bucket are dealt to parts of about ``most`` lines, and two parts meet in a block of their own.
+    """
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    parts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("p"), F.ceil(F.max("n") / most).cast("int").alias("q"))
+    one = rest.join(parts, "key").select("key", "id", "open", part("p").alias("i"), every("q").alias("j"))
+    two = members.join(parts, "key").select("key", F.col("id").alias("other"), F.col("open").alias("open2"), every("p").alias("i"), part("q").alias("j"))
+    both = one.join(two, ["key", "i", "j"]).where("id <> other and (open or open2)")
+    return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def candidate_edges(signed: DataFrame, kinds: DataFrame, k: int, similarity: float, small: int) -> DataFrame:
     """Verified edges ``(a, b)`` among what shares a band.
 
     In each bucket every line is compared with the hub, the line that shares most buckets.  Lines that aren't
-    like it are compared with all others of a bucket of up to ``small`` lines; those from larger ones are put
-    into buckets again, by bands of more minima.  So no bucket is cut off, and copies of one line cost one
-    comparison each.
+    like it are compared with all others of a bucket of up to ``small`` lines.  A larger bucket that has such
+    lines is put into buckets again as a whole, by bands of more and fresh minima; what is still crowded after the last
+    level is compared in blocks, each unlike line with all others.  Two lines that are like the hub are in one
+    class, so a pair goes on only if one of them isn't (it is ``open``).  So no bucket is cut off, and copies of
+    one line cost one comparison each.
     """
-    rows = banded(signed, BANDS)
-    ordered = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    edges, level = None, 0
-    while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = banded(signed, BANDS).withColumn("open", F.lit(True))
+    edges = done = None
+    for level in range(len(FINER) + 1):
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 and some").drop("some")
         members = materialize(rows.join(sizes, "key"), "line-buckets")
         degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
         hubs = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id"))["id"].alias("hub"))
-        spokes = materialize(members.join(hubs, "key").where("id <> hub").select("key", "id", "hub", "n"), "line-spokes")
-        tried = materialize(spokes.select(*ordered("id", "hub")).distinct(), "line-pairs")
+        spokes = members.join(hubs, "key").where("id <> hub")
+        spokes = spokes.select("key", "id", "open", "n", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        spokes = materialize(spokes, "line-spokes")
+        tried = spokes.select("a", "b").distinct()
+        tried = materialize(tried if done is None else tried.join(done, ["a", "b"], "left_anti"), "line-pairs")
+        done = tried if done is None else done.unionByName(tried)
         found = alike(tried, kinds, k, similarity)
-        unlike = tried.join(found, ["a", "b"], "left_anti")
-        rest = spokes.withColumns({"a": F.least("id", "hub"), "b": F.greatest("id", "hub")}).join(unlike, ["a", "b"])
-        rest = materialize(rest.select("key", "id", "n"), "line-rest")
-        others = members.where(F.col("n") <= small).select("key", F.col("id").alias("other"))
-        pairs = rest.where(F.col("n") <= small).select("key", "id").join(others, "key").where("id <> other").select(*ordered("id", "other"))
-        pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "line-pairs")
-        found = found.unionByName(alike(pairs, kinds, k, similarity))
         edges = found if edges is None else edges.unionByName(found)
-        level += 1
-        for old in (members, spokes, tried, pairs):
-            discard(old)
-        rest = rest.where(F.col("n") > small).select("id")
-        if rest.isEmpty() or level > FINER_LEVELS:
+        rest = materialize(spokes.join(edges.distinct(), ["a", "b"], "left_anti").select("key", "id", "open", "n"), "line-rest")
+        last = level == len(FINER)
+        pairs = blocks(rest if last else rest.where(F.col("n") <= small), members if last else members.where(F.col("n") <= small))
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "line-pairs")
+        done = done.unionByName(pairs)
+        edges = edges.unionByName(alike(pairs, kinds, k, similarity))
+        crowded = rest.where(F.col("n") > small)
+        if last or crowded.isEmpty():
             return edges
-        again = rest.select("id").distinct().join(signed, "id")
-        rows = banded(again, finer_bands(4 + 2 * level))
+        unlike = crowded.select("id").distinct().withColumn("open", F.lit(True))
+        again = members.join(crowded.select("key").distinct(), "key", "left_semi").select("id").distinct()
+        again = materialize(again.join(unlike, "id", "left").select("id", F.coalesce("open", F.lit(False)).alias("open")), "line-again")
+        discard(members)
+        discard(spokes)
+        few = again.count() <= BROADCAST_IDS
+        texts = kinds.select("id", "line").join(F.broadcast(again) if few else again, "id", "left_semi")
+        fresh = materialize(minima(texts, k, MINIMA + sum(n for n, _, _ in FINER[:level]), FINER[level][0]), "line-minima")
+        rows = banded(again.join(fresh, "id"), finer_bands(level), "open")
 
 
 def line_classes(docs: DataFrame, k: int = 8, similarity: float = 0.8, small: int = 24) -> DataFrame:

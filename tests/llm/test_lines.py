@@ -94,3 +94,27 @@ def test_odd_rows(spark):
     assert out[1].text == f"{long}\nshort\n\n  " and out[1].n_chars == len(out[1].text)
     assert out[2].text is None and out[3].text == "" and 7 not in out and out[8].text == "a b\n"
     assert lines.drop_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_chains_through_the_hub_of_a_large_bucket(spark):
+    """Line a is like the hub and line b is like a but not like the hub, in buckets of more than ``small`` lines."""
+    rng = random.Random(7)
+    base = [chr(c) for c in rng.sample(range(0x4E00, 0x9000), 600)]
+
+    def off(line, *places):
+        return [chr(0x3400 + 8 * p + rng.randrange(8)) if i in places else c for i, c in enumerate(line) for p in [i]]
+
+    rows = [(0, "".join(base))]
+    for i in range(60):  # 7 of 593 shingles change with a place: a is 0.86 to the base, b 0.86 to a and 0.73 to the base
+        a = off(base, *range(i % 8 + 10, 60, 9))
+        rows += [(2 * i + 1, "".join(a)), (2 * i + 2, "".join(off(a, *range(i % 8 + 310, 360, 9))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, [x.line_no for x in r.removed]) for r in lines.repeated_lines(docs, small=4).collect()}
+    assert got == brute(rows)
+
+
+def test_blocks_hold_every_pair(spark):
+    members = spark.createDataFrame([(1, i, i % 3 == 0, 20) for i in range(20)] + [(2, i, False, 5) for i in range(5)], "key long, id long, open boolean, n long")
+    rest = members.where("key = 1 and id < 12")
+    got = sorted((r.a, r.b) for r in lines.blocks(rest, members, 3).collect())
+    assert got == [(a, b) for a in range(20) for b in range(a + 1, 20) if a < 12 and (a % 3 == 0 or b % 3 == 0)]
