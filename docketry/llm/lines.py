@@ -1,8 +1,9 @@
 """Line dedup (operator 1): near-equal lines by MinHash over character shingles; DataFrame operations only.
 
-Distinct lines get 16 minima of hashed shingles.  The minima stand in a 4 by 4 grid; each of 12 of its lines
-(rows, columns and two diagonals) is a band, so that two lines of similarity 0.8 miss each other once in some
-hundreds of cases.  What shares a band is compared in full, and a distributed union-find joins what is alike.
+Distinct lines get 32 minima of hashed shingles.  The minima stand in a 4 by 8 grid; each of 16 of its lines
+(columns and one set of diagonals) is a band, so that two lines of similarity 0.8 share no band in 0.2% of cases
+(independent minima; 0.03% at 0.85).  In large buckets each of two finer levels misses another 0.2%.  What shares
+a band is compared in full, and a distributed union-find joins what is alike.
 """
 
 from __future__ import annotations
@@ -15,20 +16,15 @@ from pyspark.sql import functions as F
 from docketry.llm.common import discard, materialize, require
 from docketry.llm.graph import connected_components
 
-MINIMA = 16
+MINIMA = 32
 #: Fresh minima, minima in a band, and bands, each time that lines from large buckets are banded again.
 FINER = [(64, 6, 32), (96, 8, 56)]
 #: Ids of lines that are sent to all executors at most (8 MB); more are met by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Lines on each side of a block of comparisons, about.
 BLOCK_LINES = 256
-#: Places of the grid that make up a band: rows, columns, and broken diagonals both ways.
-BANDS = [
-    *[[4 * r + c for c in range(4)] for r in range(4)],
-    *[[4 * r + c for r in range(4)] for c in range(4)],
-    *[[4 * r + (c + r) % 4 for r in range(4)] for c in range(2)],
-    *[[4 * r + (c - r) % 4 for r in range(4)] for c in range(2)],
-]
+#: Places of the 4 by 8 grid that make up a band: columns, and broken diagonals.
+BANDS = [[8 * r + (c + slope * r) % 8 for r in range(4)] for slope in range(2) for c in range(8)]
 _BLANKS = " \t\r\f\v"
 
 

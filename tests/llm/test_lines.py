@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from docketry.llm import lines
 from docketry.llm import queries as q
 from docketry.llm.common import read_table
@@ -118,3 +120,44 @@ def test_blocks_hold_every_pair(spark):
     rest = members.where("key = 1 and id < 12")
     got = sorted((r.a, r.b) for r in lines.blocks(rest, members, 3).collect())
     assert got == [(a, b) for a in range(20) for b in range(a + 1, 20) if a < 12 and (a % 3 == 0 or b % 3 == 0)]
+
+
+def test_recall_of_the_bands():
+    """Pairs of similarity 0.8 whose independent minima share no band: a few in a thousand at each level."""
+    draw = np.random.default_rng(1)
+    for count, bands in [(lines.MINIMA, lines.BANDS), *((f[0], lines.finer_bands(n)) for n, f in enumerate(lines.FINER))]:
+        same = draw.random((100_000, count)) < 0.8
+        met = np.zeros(len(same), dtype=bool)
+        for places in bands:
+            met |= same[:, places].all(axis=1)
+        assert (~met).mean() < 0.003
+
+
+def near_pairs(rng, n, common, own, edits):
+    """``n`` pairs of lines of similarity 0.80 to 0.85, one after the other; all lines share what is ``common``."""
+    rows = []
+    while len(rows) < 2 * n:
+        a = [*common, *rng.choices("abcdefghijklmnopqrstuvwxyz", k=own)]
+        b = [*a]
+        for p in rng.sample(range(len(common) + 5, len(a) - 5), edits):
+            b[p] = rng.choice("0123456789")
+        x, y = shingles("".join(a)), shingles("".join(b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            rows += ["".join(a), "".join(b)]
+    return rows
+
+
+def recall(spark, rows):
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    gone = {r.doc_id for r in lines.repeated_lines(docs).where("size(removed) > 0").collect()}
+    return sum(i in gone for i in range(1, len(rows), 2)) / (len(rows) // 2)
+
+
+def test_recall_of_near_copies(spark):
+    assert recall(spark, near_pairs(random.Random(11), 3000, "", 150, 2)) >= 0.995
+
+
+def test_recall_of_near_copies_in_large_buckets(spark):
+    rng = random.Random(12)
+    common = rng.choices("abcdefghijklmnopqrstuvwxyz", k=400)
+    assert recall(spark, near_pairs(rng, 150, common, 100, 6)) >= 0.97
