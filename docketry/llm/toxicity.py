@@ -41,7 +41,9 @@ LOOK_ALIKES = {
 }
 _SENTENCE_MARKS = ".,;:?\"'()[]«»“”‘’…"
 _EDGE_MARKS = _SENTENCE_MARKS + "!#$%&*+-/<=>@\\^_`{|}~0123456789"
-_THRICE = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
+#: Characters of a fragment of a word at most, and fragments that are joined at most.
+FRAGMENT, FRAGMENTS = 3, 8
 _CACHE_WORDS = 400_000
 
 
@@ -124,31 +126,50 @@ class Restorer:
 
 def core_of(token: str) -> str:
     """A token without sentence marks at its ends, and without marks that stand twice or more at its end."""
-    core = token.strip(_SENTENCE_MARKS).rstrip("!")
+    core = token.strip(_SENTENCE_MARKS)
+    if not any(c.isalpha() for c in core) and any(c not in "!*-+|<{#%" for c in core):
+        return core
+    core = core.rstrip("!")
     while len(core) > 1 and core[-1] == core[-2] and not core[-1].isalnum():
         core = core.rstrip(core[-1]).rstrip(_SENTENCE_MARKS)
     return core
 
 
 def odd_token(core: str) -> bool:
-    """Whether a token has letters among other marks, a letter three times in a row, or letters of another script."""
+    """Whether a token has letters among other marks, look-alike marks alone, a letter twice in a row, or letters of another script."""
     if not core.isalpha():
-        return any(c.isalpha() for c in core)
-    return _THRICE.search(core) is not None or not core.isascii() and any(c in LOOK_ALIKES for c in core.lower())
+        return any(c.isalpha() or c in LOOK_ALIKES for c in core)
+    return _TWICE.search(core.lower()) is not None or not core.isascii() and any(c in LOOK_ALIKES for c in core.lower())
 
 
 def spaced_runs(words: list[str], least: int = 3) -> Iterator[str]:
-    """Runs of words of one character, joined."""
+    """Runs of words of one character, joined; sentence marks around the character don't count."""
     run: list[str] = []
-    for w in words:
-        if len(w) == 1:
-            run.append(w)
+    for w in [*words, ""]:
+        bare = w if len(w) == 1 else w.strip(_SENTENCE_MARKS) if len(w) < 8 else ""
+        if len(bare) == 1:
+            run.append(bare)
         else:
             if len(run) >= least:
                 yield "".join(run)
             run = []
-    if len(run) >= least:
-        yield "".join(run)
+
+
+def joined_fragments(words: list[str]) -> set[str]:
+    """Neighbouring words of up to ``FRAGMENT`` characters, not each of one, joined: from each on, up to ``FRAGMENTS``."""
+    out: set[str] = set()
+    run: list[str] = []
+    for w in [*words, ""]:
+        bare = w.strip(_SENTENCE_MARKS) if len(w) < 8 else ""
+        if 0 < len(bare) <= FRAGMENT:
+            run.append(bare)
+            for n in range(2, min(len(run), FRAGMENTS) + 1):
+                joined = "".join(run[-n:])
+                if n < len(joined) and len(joined) >= 4:
+                    out.add(joined)
+        else:
+            run = []
+    return out
 
 
 def word_features(word: str) -> list[str]:
@@ -180,7 +201,7 @@ class Scorer:
     def features(self, text: str, wanted: frozenset | None = None) -> set[str]:
         """The features of a text, or those among ``wanted``, which is the same in every call."""
         words, out, kept = text.split(), set(), self.kept
-        for w in set(words):
+        for w in {*words, *joined_fragments(words)}:
             found = kept.get(w)
             if found is None:
                 if len(kept) >= _CACHE_WORDS:
@@ -200,7 +221,7 @@ class Scorer:
     def score(self, text: str) -> tuple[float, str]:
         """The weight of the most telling feature, and that feature."""
         words, best, kept = text.split(), (self.model.floor, ""), self.kept
-        for w in set(words):
+        for w in {*words, *joined_fragments(words)}:
             found = kept.get(w)
             if found is None:
                 if len(kept) >= _CACHE_WORDS:

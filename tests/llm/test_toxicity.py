@@ -58,3 +58,24 @@ def test_held_out_accuracy(spark):
     hits = sum(r.predicted and labels[r.doc_id] for r in rows)
     assert hits >= 0.8 * sum(labels[r.doc_id] for r in rows) and hits >= 0.85 * sum(r.predicted for r in rows)
     assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_every_form_of_the_channel(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.fit_toxicity(docs, labels)
+    bad = ["vverrminn", "v. e. r. m. i. n.", "(v) e, r, m i n", "ve rm in", "river ver min, stone", "r0 tt en", "rrotten"]
+    fine = ["river stone", "a b", "77 11 !!", "2024 455 @$$", "in it is a"]
+    table = spark.createDataFrame(list(enumerate([*bad, *fine])), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(table, model).collect()}
+    assert [t for i, t in enumerate(bad) if got[i] < 0.5] == [] and [t for i, t in enumerate(fine, len(bad)) if got[i] >= 0.3] == []
+
+
+def test_tokens_without_a_letter():
+    text = " ".join(["glass", "class", "assess", "boss", "ass"] * 50)
+    counts = np.zeros(toxicity.SYMBOLS**3, dtype=np.int64)
+    for w in text.split():
+        x = [0, 0, *(toxicity.LETTERS.index(c) + 1 for c in w), 0]
+        for a, b, c in zip(x, x[1:], x[2:]):
+            counts[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
+    scorer = toxicity.Scorer(toxicity.ToxicityModel(counts))
+    assert all("ass" in scorer.readings(w) for w in ("@$$", "455", "@$$!", "4$5."))
