@@ -191,7 +191,7 @@ def repeated_lines(docs: DataFrame, **how) -> DataFrame:
     the lines, counted from 0 over all lines of the text, that go because a near-equal one stays, and where that
     stands.  One line of each class stays: the first by doc_id (null last) and line.  Lines are compared without
     blanks at their ends and without regard to case, by Jaccard similarity of their sets of ``k``-character
-    shingles; shorter lines have equals alone.  Lines without a word always stay and aren't counted.
+    shingles; shorter lines have equals alone, case included.  Lines without a word always stay and aren't counted.
 
     Null and empty texts have no lines and no row; rows equal in doc_id and text get one row.
     """
