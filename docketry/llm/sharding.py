@@ -15,7 +15,8 @@ ROWS_PER_BLOCK = 200_000
 
 def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int) -> list[list[int]]:
     """How many rows each block sends to each shard: rows and columns add up exactly, and the matrix has the
-    law that a uniform permutation of all rows would give it."""
+    law that a uniform permutation of all rows would give it; from 10^9 rows left to place on, a rounded normal
+    stands for that law."""
     rng = np.random.default_rng(seed)
     left, out = np.array(shard_rows, dtype=np.int64), []
     for n in block_rows:
@@ -42,7 +43,7 @@ def _large_draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarra
 
 def shard_uniformly(rows: DataFrame, n_shards: int = 24, seed: int = 5, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """``rows`` with ``shard int`` and ``slot long``: shard sizes differ by at most one (the first are larger),
-    slots are gapless from 0 in each shard, and every order of the rows is equally likely.
+    slots are gapless from 0 in each shard, and every order of the rows is equally likely (nearly, from 10^9 rows on).
 
     Only DataFrame operations touch rows.  Rows are numbered as they are written to the shared folder and
     dealt to blocks by that number, never by a value, so repeated rows, nulls and hot keys deal evenly.  The
