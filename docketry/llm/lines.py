@@ -3,17 +3,18 @@
 Distinct lines get 32 minima of hashed shingles.  The minima stand in a 4 by 8 grid; each of 16 of its lines
 (columns and one set of diagonals) is a band, so that two lines of similarity 0.8 share no band in 0.2% of cases
 (independent minima; 0.03% at 0.85).  In large buckets each of two finer levels misses another 0.2%.  What shares
-a band is compared in full, and a distributed union-find joins what is alike.
+a band is compared in full unless bitmaps prove it unlike, and a distributed union-find joins what is alike.
 """
 
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import discard, materialize, require
+from docketry.llm.common import discard, materialize, require, unused
 from docketry.llm.graph import connected_components
 
 MINIMA = 32
@@ -23,9 +24,13 @@ FINER = [(64, 6, 32), (96, 8, 56)]
 BROADCAST_IDS = 1_000_000
 #: Lines on each side of a block of comparisons, about.
 BLOCK_LINES = 256
+#: 64-bit words of a line's bitmap of shingles (a power of two).
+BITMAP_WORDS = 32
 #: Places of the 4 by 8 grid that make up a band: columns, and broken diagonals.
 BANDS = [[8 * r + (c + slope * r) % 8 for r in range(4)] for slope in range(2) for c in range(8)]
 _BLANKS = " \t\r\f\v"
+#: Stands for a null doc_id, behind all others.
+_NO_DOC = (1 << 63) - 1
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -37,9 +42,14 @@ def line_table(docs: DataFrame) -> DataFrame:
     return split.withColumn("line", F.btrim("line", F.lit(_BLANKS))).where("line <> ''")
 
 
+def _line_count(text: str) -> Column:
+    """Lines with a word; null texts have none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\t\r\f\x0B\n][^\n]*")), F.lit(0)).cast("long")
+
+
 def _place() -> Column:
     """One number for a line's place, ordered by doc_id (null last), then line."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).cast("decimal(20,0)")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC)).cast("decimal(20,0)")
     return (doc * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
@@ -48,10 +58,20 @@ def _characters(line: str) -> str:
     return f"encode(lower({line}), 'UTF-16BE')"
 
 
-def _shingles(characters: str, k: int) -> Column:
-    """Distinct hashes of the ``k``-character shingles of ``k`` characters or more, two bytes each."""
-    steps = f"sequence(1, octet_length({characters}) - {2 * k - 1}, 2)"
-    return F.expr(f"array_distinct(transform({steps}, i -> xxhash64(substring({characters}, i, {2 * k}))))")
+def _shingles(line: str, k: int) -> Column:
+    """Hashes of a line's ``k``-character shingles, repeats included.
+
+    The characters stand as the variable of an outer lambda: a column of a row would be copied for every shingle."""
+    steps = f"sequence(1, octet_length(c) - {2 * k - 1}, 2)"
+    return F.expr(f"transform(array({_characters(line)}), c -> transform({steps}, i -> xxhash64(substring(c, i, {2 * k}))))[0]")
+
+
+def _hashed(kinds: DataFrame, k: int, *also: str) -> DataFrame:
+    """``id, h int`` for every shingle of the lines ``(id, line)`` with ``k`` characters or more; ``most`` is their number."""
+    rows = kinds.where(F.char_length("line") >= k).select("id", F.expr(_characters("line")).alias("b"))
+    last = F.octet_length("b") - (2 * k - 1)
+    rows = rows.select("id", "b", ((last + 1) / 2).cast("int").alias("most"), F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("i"))
+    return rows.select("id", *also, F.expr(f"hash(substring(b, i, {2 * k}))").alias("h"))
 
 
 def minima(kinds: DataFrame, k: int, start: int = 0, count: int = MINIMA) -> DataFrame:
@@ -59,31 +79,52 @@ def minima(kinds: DataFrame, k: int, start: int = 0, count: int = MINIMA) -> Dat
 
     The j-th minimum is taken over the shingles' hashes xor a fixed number, which is a random order of its own.
     """
-    rows = kinds.where(F.char_length("line") >= k).select("id", F.expr(_characters("line")).alias("b"))
-    rows = rows.select("id", "b", F.explode(F.sequence(F.lit(1), F.octet_length("b") - (2 * k - 1), F.lit(2))).alias("i"))
-    rows = rows.select("id", F.expr(f"hash(substring(b, i, {2 * k}))").alias("h"))
-    found = rows.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.expr(f"hash({j}, 'order')"))).alias(f"m{j}") for j in range(start, start + count)])
+    found = _hashed(kinds, k).groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.expr(f"hash({j}, 'order')"))).alias(f"m{j}") for j in range(start, start + count)])
     return found.select("id", F.array(*[f"m{j}" for j in range(start, start + count)]).alias("m"))
 
 
-def alike(pairs: DataFrame, kinds: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The ``pairs (a, b)`` of ids whose lines' shingle sets have that Jaccard similarity or more, as a written table."""
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    involved = materialize(involved, "line-ids")
-    few = involved.count() <= BROADCAST_IDS
-    texts = materialize(kinds.select("id", "line").join(F.broadcast(involved) if few else involved, "id", "left_semi"), "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # each step stands behind a generator, so that it runs once a pair and isn't copied into what follows
+def of_ids(table: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """The rows of ``table`` with an ``id`` among ``ids``, as a written table; ids are broadcast only if they are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return materialize(table.join(F.broadcast(ids) if few else ids, "id", "left_semi"), label)
+
+
+def bitmaps(kinds: DataFrame, k: int) -> DataFrame:
+    """``id, most, w0, w1, ...``: how many shingles a line has at most, and the words of a bitmap of the slots that
+    they fall into."""
+    rows = _hashed(kinds, k, "most")
+    word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(BITMAP_WORDS - 1), F.expr("shiftleft(1L, h & 63)")
+    return rows.groupBy("id").agg(F.max("most").alias("most"), *[F.bit_or(F.when(word == j, bit).otherwise(0)).alias(f"w{j}") for j in range(BITMAP_WORDS)])
+
+
+def map_columns(name: str) -> list[Column]:
+    """The columns of :func:`bitmaps` under names that begin with ``name``."""
+    return [F.col(c).alias(name + c) for c in ("most", *(f"w{j}" for j in range(BITMAP_WORDS)))]
+
+
+def may_be_alike(x: str, y: str, similarity: float) -> Column:
+    """False only if two bitmaps prove that the lines aren't alike.
+
+    A slot that one line fills and the other doesn't holds a shingle that they don't share.  Sets of n and m
+    elements with d of them not shared have a Jaccard similarity of (n + m - d) / (n + m + d).
+    """
+    apart = [F.bit_count(F.col(f"{x}w{j}").bitwiseXOR(F.col(f"{y}w{j}"))) for j in range(BITMAP_WORDS)]
+    return (1 + similarity) * sum(apart[1:], apart[0]) <= (1 - similarity) * (F.col(f"{x}most") + F.col(f"{y}most")) + 1e-6
+
+
+def alike(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The ``pairs (a, b)`` of ids whose lines' shingle sets have that Jaccard similarity or more, as a written table.
+
+    Bitmaps tell most of the others apart; shingle sets are worked out for what is left.
+    """
+    both = pairs.join(maps.select(F.col("id").alias("a"), *map_columns("x")), "a").join(maps.select(F.col("id").alias("b"), *map_columns("y")), "b")
+    both = both.where(may_be_alike("x", "y", similarity)).select("a", "b")
+    both = both.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    # each step stands behind a generator, so that it runs once a pair and isn't repeated in what follows
     once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
-    both = both.select("a", "b", once(x=F.expr(_characters("x")), y=F.expr(_characters("y"))).alias("c"))
-    both = both.select("a", "b", once(x=_shingles("c.x", k), y=_shingles("c.y", k)).alias("s"))
-    both = both.select("a", "b", once(n=F.size("s.x") + F.size("s.y"), shared=F.size(F.array_intersect("s.x", "s.y"))).alias("r"))
-    found = both.where(F.col("r.shared") >= F.lit(similarity) * (F.col("r.n") - F.col("r.shared"))).select("a", "b")
-    found = materialize(found, "line-edges")
-    discard(texts)
-    discard(involved)
-    return found
+    both = both.select("a", "b", once(x=_shingles("x", k), y=_shingles("y", k)).alias("s"))
+    both = both.select("a", "b", once(all=F.size(F.array_union("s.x", "s.y")), shared=F.size(F.array_intersect("s.x", "s.y"))).alias("r"))
+    return materialize(both.where(F.col("r.shared") >= F.lit(similarity) * F.col("r.all")).select("a", "b"), "line-edges")
 
 
 def finer_bands(level: int) -> list[list[int]]:
@@ -104,88 +145,116 @@ def banded(signed: DataFrame, bands: list[list[int]], *also: str) -> DataFrame:
     return signed.select("id", *also, F.explode(F.array(*keys)).alias("key"))
 
 
-def blocks(rest: DataFrame, members: DataFrame, most: int = BLOCK_LINES) -> DataFrame:
-    """``a, b``: every line of ``rest (key, id, open, n)`` with every other of its bucket in ``members``, where one is open.
+def blocks(members: DataFrame, similarity: float, most: int = BLOCK_LINES) -> DataFrame:
+    """``a, b``: in each bucket of ``members (key, id, label, n, unlike)``, with their bitmaps, every unlike line with
+    every other of another label, if the bitmaps allow that they are alike.
 
-    Both sides of a bucket are dealt to parts of about ``most`` lines, and two parts meet in a block of their own.
+    A bucket's unlike lines and its lines are dealt to parts of about ``most`` lines, and two parts meet in a block
+    of their own.
     """
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    parts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("p"), F.ceil(F.max("n") / most).cast("int").alias("q"))
-    one = rest.join(parts, "key").select("key", "id", "open", part("p").alias("i"), every("q").alias("j"))
-    two = members.join(parts, "key").select("key", F.col("id").alias("other"), F.col("open").alias("open2"), every("p").alias("i"), part("q").alias("j"))
-    both = one.join(two, ["key", "i", "j"]).where("id <> other and (open or open2)")
+    parts = members.where("unlike").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("p"), F.ceil(F.max("n") / most).cast("int").alias("q"))
+    rows = members.join(parts, "key")
+    one = rows.where("unlike").select("key", "id", "label", *map_columns("x"), part("p").alias("i"), every("q").alias("j"))
+    two = rows.select("key", F.col("id").alias("other"), F.col("label").alias("label2"), "unlike", *map_columns("y"), every("p").alias("i"), part("q").alias("j"))
+    # two unlike lines meet twice
+    both = one.join(two, ["key", "i", "j"]).where("label <> label2 and (id < other or not unlike)").where(may_be_alike("x", "y", similarity))
     return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def candidate_edges(signed: DataFrame, kinds: DataFrame, k: int, similarity: float, small: int) -> DataFrame:
-    """Verified edges ``(a, b)`` among what shares a band.
+def similar_lines(signed: DataFrame, kinds: DataFrame, k: int, similarity: float, small: int) -> DataFrame:
+    """``node, root`` of every line in a class of several, from verified pairs among what shares a band.
 
-    In each bucket every line is compared with the hub, the line that shares most buckets.  Lines that aren't
-    like it are compared with all others of a bucket of up to ``small`` lines.  A larger bucket that has such
-    lines is put into buckets again as a whole, by bands of more and fresh minima; what is still crowded after the last
-    level is compared in blocks, each unlike line with all others.  Two lines that are like the hub are in one
-    class, so a pair goes on only if one of them isn't (it is ``open``).  So no bucket is cut off, and copies of
-    one line cost one comparison each.
+    In each bucket every line is compared with the hub, the line that shares most buckets.  Lines that aren't in
+    its class then are compared with all lines of other classes in a bucket of up to ``small`` lines.  A larger
+    bucket that has such lines is put into buckets again as a whole, by bands of more and fresh minima; what is
+    still crowded after the last level is compared in blocks, each such line with all others.  A line's label is
+    its class so far; lines with one label needn't be compared.  So no bucket is cut off, and copies of one line
+    cost one comparison each.
     """
-    rows = banded(signed, BANDS).withColumn("open", F.lit(True))
-    edges = done = None
+    rows = banded(signed.withColumn("label", F.col("id")), BANDS, "label")
+    stars = done = pending = None
     for level in range(len(FINER) + 1):
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("some")).where("n > 1 and some").drop("some")
-        members = materialize(rows.join(sizes, "key"), "line-buckets")
-        degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-        hubs = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id"))["id"].alias("hub"))
-        spokes = members.join(hubs, "key").where("id <> hub")
-        spokes = spokes.select("key", "id", "open", "n", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        spokes = materialize(spokes, "line-spokes")
-        tried = spokes.select("a", "b").distinct()
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("label") < F.max("label")).alias("some")).where("some").drop("some")
+        members = materialize(rows.join(sizes.hint("shuffle_hash"), "key"), "line-buckets")
+        ids = materialize(members.groupBy("id").agg(F.sum("n").alias("degree")), "line-ids")
+        weight = F.least("degree", F.lit(1 << 42)) * (1 << 20) + F.xxhash64("id").bitwiseAND((1 << 20) - 1)
+        hubs = members.join(ids, "id").groupBy("key").agg(F.max_by("id", weight).alias("hub"), F.max_by("label", weight).alias("hub_label"))
+        texts = of_ids(kinds.select("id", "line"), ids.select("id"), "line-texts")
+        maps = materialize(bitmaps(texts, k), "line-maps")
+        spokes = materialize(members.join(hubs, "key"), "line-spokes")
+        discard(members)
+        tried = spokes.where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         tried = materialize(tried if done is None else tried.join(done, ["a", "b"], "left_anti"), "line-pairs")
         done = tried if done is None else done.unionByName(tried)
-        found = alike(tried, kinds, k, similarity)
-        edges = found if edges is None else edges.unionByName(found)
-        rest = materialize(spokes.join(edges.distinct(), ["a", "b"], "left_anti").select("key", "id", "open", "n"), "line-rest")
+        stars = joined(stars, pending, alike(tried, maps, texts, k, similarity))
+        label = lambda of, name: stars.select(F.col("node").alias(of), F.col("root").alias(name))
+        met = spokes.join(label("id", "root"), "id", "left").join(label("hub", "hub_root"), "hub", "left")
+        met = met.select("key", "id", "n", F.coalesce("root", "id").alias("label"), F.coalesce("hub_root", "hub").alias("hub_label"))
+        met = materialize(met.withColumn("unlike", F.col("label") != F.col("hub_label")), "line-met")
         last = level == len(FINER)
-        pairs = blocks(rest if last else rest.where(F.col("n") <= small), members if last else members.where(F.col("n") <= small))
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "line-pairs")
+        few = F.lit(True) if last else F.col("n") <= small
+        some = met.where(few).join(met.where(few & F.col("unlike")).select("key").distinct(), "key", "left_semi")
+        pairs = materialize(blocks(some.join(maps, "id"), similarity).join(done, ["a", "b"], "left_anti"), "line-pairs")
         done = done.unionByName(pairs)
-        edges = edges.unionByName(alike(pairs, kinds, k, similarity))
-        crowded = rest.where(F.col("n") > small)
+        pending = alike(pairs, maps, texts, k, similarity)
+        crowded = met.where((F.col("n") > small) & F.col("unlike")).select("key").distinct()
+        for old in (ids, spokes, texts, maps):
+            discard(old)
         if last or crowded.isEmpty():
-            return edges
-        unlike = crowded.select("id").distinct().withColumn("open", F.lit(True))
-        again = members.join(crowded.select("key").distinct(), "key", "left_semi").select("id").distinct()
-        again = materialize(again.join(unlike, "id", "left").select("id", F.coalesce("open", F.lit(False)).alias("open")), "line-again")
-        discard(members)
-        discard(spokes)
-        few = again.count() <= BROADCAST_IDS
-        texts = kinds.select("id", "line").join(F.broadcast(again) if few else again, "id", "left_semi")
-        fresh = materialize(minima(texts, k, MINIMA + sum(n for n, _, _ in FINER[:level]), FINER[level][0]), "line-minima")
-        rows = banded(again.join(fresh, "id"), finer_bands(level), "open")
-
-
-def line_classes(docs: DataFrame, k: int = 8, similarity: float = 0.8, small: int = 24) -> DataFrame:
-    """``h1, h2, place, first``: for each distinct line (by two 64-bit hashes) where it stands first, and where
-    the first line of its class stands.  Only lines that stand twice or more or have a class are returned."""
+            return joined(stars, pending)
+        again = met.where(F.col("n") > small).join(crowded, "key", "left_semi").select("id").distinct()
+        again = again.join(stars.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+        again = materialize(again, "line-again")
+        discard(met)
+        start, count = MINIMA + sum(n for n, _, _ in FINER[:level]), FINER[level][0]
+        fresh = minima(of_ids(kinds.select("id", "line"), again.select("id"), "line-texts"), k, start, count)
+        rows = banded(again.join(materialize(fresh, "line-minima"), "id"), finer_bands(level), "label")
+
+
+def joined(stars: DataFrame | None, *more: DataFrame | None) -> DataFrame:
+    """``node, root`` of the classes after ``more`` edges."""
+    edges = [e for e in more if e is not None] + ([stars.select(F.col("node").alias("a"), F.col("root").alias("b"))] if stars is not None else [])
+    return connected_components(reduce(DataFrame.unionByName, edges), "a", "b")
+
+
+def line_classes(docs: DataFrame, k: int = 8, similarity: float = 0.8, small: int = 128) -> DataFrame:
+    """``h1, h2, first_doc, first_line``: for each distinct line (by two 64-bit hashes) the place of the first line of
+    its class; a null doc_id stands last, as the largest number.  Only lines that stand twice or more or have a
+    class are returned."""
     lines = line_table(docs).withColumn("place", _place())
     kinds = lines.groupBy("line").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
     kinds = materialize(kinds.withColumn("id", F.monotonically_increasing_id()), "line-kinds")
     signed = materialize(minima(kinds, k), "line-minima")
-    edges = candidate_edges(signed, kinds, k, similarity, small)
-    roots = connected_components(edges, "a", "b")
+    roots = similar_lines(signed, kinds, k, similarity, small)
     roots = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "line-roots")
     placed = roots.join(kinds.select(F.col("id").alias("node"), "place"), "node")
     first = materialize(placed.groupBy("root").agg(F.min("place").alias("first")), "line-firsts")
     classes = roots.join(first, "root").select("node", "first")
-    out = kinds.join(classes, F.col("id") == F.col("node"), "left").where("n > 1 or node is not null")
-    out = out.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "place", F.coalesce("first", "place").alias("first"))
+    hashed = kinds.select("id", "place", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    out = hashed.join(classes, F.col("id") == F.col("node"), "left").where("n > 1 or node is not null")
+    place, step = F.coalesce("first", "place"), F.lit(1 << 31).cast("decimal(10,0)")
+    out = out.select("h1", "h2", F.floor(place / step).cast("long").alias("first_doc"), (place % step).cast("int").alias("first_line"))
     out = materialize(out, "line-classes")
     for old in (kinds, signed, roots, first):
         discard(old)
     return out
 
 
+def removed_lines(docs: DataFrame, **how) -> DataFrame:
+    """``doc_id, text_hash, removed`` of the documents that lose a line, one row for all rows equal in both."""
+    classes = line_classes(docs, **how)
+    here = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_DOC))
+    lines = line_table(docs).select("doc_id", "text_hash", "line_no", here.alias("here"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    later = (F.col("first_doc") < F.col("here")) | ((F.col("first_doc") == F.col("here")) & (F.col("first_line") < F.col("line_no")))
+    of = F.struct("line_no", F.nullif("first_doc", F.lit(_NO_DOC)).alias("of_doc"), F.col("first_line").alias("of_line"))
+    gone = lines.join(classes, ["h1", "h2"]).where(later)
+    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(of)).alias("removed"))
+
+
 def repeated_lines(docs: DataFrame, **how) -> DataFrame:
-    """Per document row: ``doc_id, text_hash, n_lines, removed``.
+    """Per row of ``docs``: ``doc_id, text_hash, n_lines, removed``.
 
     ``n_lines`` counts lines with a word.  ``removed`` is an array of ``(line_no, of_doc, of_line)`` in line order:
     the lines, counted from 0 over all lines of the text, that go because a near-equal one stays, and where that
@@ -193,31 +262,29 @@ def repeated_lines(docs: DataFrame, **how) -> DataFrame:
     blanks at their ends and without regard to case, by Jaccard similarity of their sets of ``k``-character
     shingles; shorter lines have equals alone, case included.  Lines without a word always stay and aren't counted.
 
-    Null and empty texts have no lines and no row; rows equal in doc_id and text get one row.
+    Null and empty texts have no lines and lose none.  Rows equal in doc_id and text are one document and get a
+    row each.  Other columns are ignored.
     """
     require(docs, "doc_id", "text")
     docs = docs.select("doc_id", "text")
-    classes = line_classes(docs, **how)
-    lines = line_table(docs).select(
-        "doc_id", "text_hash", "line_no", _place().alias("here"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
-    ).distinct()
-    lines = lines.join(classes.select("h1", "h2", "first"), ["h1", "h2"], "left")
-    step = F.lit(1 << 31).cast("decimal(10,0)")
-    of_doc, of_line = F.floor(F.col("first") / step), F.col("first") % step
-    of = F.struct("line_no", F.nullif(of_doc.cast("long"), F.lit((1 << 63) - 1)).alias("of_doc"), of_line.cast("int").alias("of_line"))
-    gone = F.when(F.col("first") < F.col("here"), of)
-    return lines.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(gone)).alias("removed"))
+    found = removed_lines(docs, **how).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "removed")
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _line_count("text").alias("n_lines"))
+    each = each.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
+    none = F.array().cast(found.schema["removed"].dataType)
+    return each.select("doc_id", "text_hash", "n_lines", F.coalesce("removed", none).alias("removed"))
 
 
 def drop_repeated_lines(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the lines of :func:`repeated_lines`, all columns as they were but for ``text`` (and
     ``n_chars``, where there is one, which counts the characters again).  A row whose every line with a word
-    goes is left out; rows that had none stay as they are."""
-    found = repeated_lines(docs, **how).where(F.size("removed") > 0)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_lines").alias("__lines"), F.col("removed.line_no").alias("__gone"))
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-    out = out.where(F.col("__gone").isNull() | (F.size("__gone") < F.col("__lines")))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
-    names = [F.char_length(text).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    goes is left out; rows that had none stay as they are.  Other columns may have any names."""
+    require(docs, "doc_id", "text")
+    of, of_hash, gone = unused(docs, "of", "of_hash", "gone")
+    found = removed_lines(docs.select("doc_id", "text"), **how)
+    found = found.select(F.col("doc_id").alias(of), F.col("text_hash").alias(of_hash), F.col("removed.line_no").alias(gone))
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(of_hash)), "left")
+    out = out.where(F.col(gone).isNull() | (F.size(gone) < _line_count("text")))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
+    names = [F.char_length(text).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*names)

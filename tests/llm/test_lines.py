@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docketry.llm import lines
 from docketry.llm import queries as q
@@ -55,7 +56,7 @@ def brute(rows):
         count[d] = count.get(d, 0) + 1
         if first[find(kinds[x])] < (order, n):
             removed.setdefault(d, []).append(n)
-    return {d: (c, sorted(removed.get(d, []))) for d, c in count.items()}
+    return {d: (count.get(d, 0), sorted(removed.get(d, []))) for d, _ in rows}
 
 
 def test_whole_table(spark, sf):
@@ -116,10 +117,35 @@ def test_chains_through_the_hub_of_a_large_bucket(spark):
 
 
 def test_blocks_hold_every_pair(spark):
-    members = spark.createDataFrame([(1, i, i % 3 == 0, 20) for i in range(20)] + [(2, i, False, 5) for i in range(5)], "key long, id long, open boolean, n long")
-    rest = members.where("key = 1 and id < 12")
-    got = sorted((r.a, r.b) for r in lines.blocks(rest, members, 3).collect())
-    assert got == [(a, b) for a in range(20) for b in range(a + 1, 20) if a < 12 and (a % 3 == 0 or b % 3 == 0)]
+    """But for those of one label, and those that their bitmaps tell apart: lines 5 and 6 share shingles with no other."""
+    texts = [(i, f"line {i} is like no other line of these twenty here" if i in (5, 6) else "all the same words stand in this line") for i in range(20)]
+    texts = spark.createDataFrame([(i, t if i != 6 else t.swapcase()[::-1]) for i, t in texts], "id long, line string")
+    members = [(1, i, i % 3, 20, i < 12) for i in range(20)] + [(2, i, i, 5, False) for i in range(5)]
+    members = spark.createDataFrame(members, "key long, id long, label long, n long, unlike boolean").join(lines.bitmaps(texts, K), "id")
+    got = sorted((r.a, r.b) for r in lines.blocks(members, 0.8, 3).collect())
+    apart = [(a, b) for a in range(20) for b in range(a + 1, 20) if a < 12 and a % 3 != b % 3]
+    assert got == [(a, b) for a, b in apart if not {a, b} & {5, 6}]
+
+
+def test_bitmaps_rule_out_no_pair_that_is_alike(spark):
+    rng = random.Random(5)
+    texts = near_pairs(rng, 200, "", 150, 2) + near_pairs(rng, 100, "", 3000, 40) + ["ab" * 40, "ab" * 50]
+    maps = lines.bitmaps(spark.createDataFrame(list(enumerate(texts)), "id long, line string"), K)
+    both = maps.select("id", *lines.map_columns("x")).join(maps.select((F.col("id") - 1).alias("id"), *lines.map_columns("y")), "id").where("id % 2 = 0")
+    assert both.count() == len(texts) // 2 == both.where(lines.may_be_alike("x", "y", 0.8)).count()
+
+
+def test_rows_with_one_id(spark):
+    """Repeated rows get a row each; rows with one doc_id and different texts are told apart."""
+    long = "The quick brown fox jumps over the lazy dog near the river bank today"
+    docs = spark.createDataFrame([(1, long), (1, long), (1, f"{long}\nanother"), (2, long)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, len(r.removed)) for r in lines.repeated_lines(docs).collect())
+    assert got == [(1, 1, 0), (1, 1, 0), (1, 2, 0), (2, 1, 1)]
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one line here", "x", 1.5, None), (2, "one line here", "y", 2.5, 3)], "doc_id long, text string, of string, `gone.at` double, gone int")
+    assert lines.drop_repeated_lines(docs).collect() == [docs.collect()[0]]
 
 
 def test_recall_of_the_bands():
