@@ -25,6 +25,8 @@ from docketry.llm.common import byte_texts, require, steps
 
 #: Words of letters that are NFC as they stand and lower-case one to one, with ASCII marks behind them.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([!-&(-/:;=?@\\[-`{-~]*)")
+# fixed value: the pieces that such a file cuts texts into
+_PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: An ASCII mark right behind a letter of Latin-1, at the end.
 _MARK_APART = re.compile(rb".*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[!-/:-@\[-`{-~]", re.DOTALL).fullmatch
 
@@ -128,13 +130,17 @@ class WordCache:
     most = 300_000
 
     def __init__(self, special: list[str]) -> None:
-        self.kept: dict[bytes, tuple[bytes, str]] = {}
+        self.kept: dict[bytes, tuple[bytes, str] | bytes] = {}
         self._starts = tuple({t[:2].encode() for t in special})
 
-    def find(self, words: list[bytes]) -> list[tuple[bytes, str]]:
+    def find(self, words: list[bytes]) -> list:
         """What distinct words become; for subclasses."""
         raise NotImplementedError
 
+    def together(self, word, mark):
+        """What a word with a mark behind it becomes, from what each becomes; for subclasses."""
+        raise NotImplementedError
+
     def fill(self, words: set[bytes]) -> None:
         kept = self.kept
         new = [w for w in words if w not in kept]
@@ -147,8 +153,7 @@ class WordCache:
         fresh = [w for w in fresh if w not in kept]
         kept.update(zip(fresh, self.find(fresh)))
         for w in marked:
-            (ids, text), (mark_ids, mark) = kept[w[:-1]], kept[w[-1:]]
-            kept[w] = (ids + mark_ids, f"{text} {mark}" if text and mark else text or mark)
+            kept[w] = self.together(kept[w[:-1]], kept[w[-1:]])
         if len(new) > 10_000:
             gc.freeze()  # what is kept holds no cycles; it needn't be looked through again and again
 
@@ -162,36 +167,47 @@ class WordCache:
         self.fill(set().union(*cut))
         return cut
 
-    def documents(self, texts: list[bytes]) -> Iterator[tuple[bytes, str]]:
-        """Ids and decoded text of each text."""
-        kept = self.kept
-        for words in self.words_of(texts):
-            found = [kept[w] for w in words]
-            yield b"".join([x for x, _ in found]), " ".join([y for _, y in found if y])
 
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        kept = self.kept
-        for words in self.words_of(texts):
-            yield b"".join([kept[w][0] for w in words])
+def check_habits(spec: dict) -> None:
+    """Raise unless a tokenizer file works as :class:`WordCache` takes for granted: it puts texts into NFC and lower
+    case and makes spaces of white space, cuts off runs of letters, single digits and runs of marks, and has no
+    decoder."""
+    parts = (spec.get("normalizer") or {}).get("normalizers") or []
+    normal = [n["type"] if n["type"] != "Replace" else (n["pattern"], n["content"]) for n in parts]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    cut = [(c["type"], c.get("pattern"), c.get("behavior"), c.get("invert")) if c["type"] == "Split" else (c["type"], c.get("add_prefix_space"), c.get("use_regex")) for c in cuts]
+    known = [("Split", {"Regex": _PIECES}, "Removed", True), ("ByteLevel", False, False)]
+    if normal != ["NFC", ({"Regex": "\\s+"}, " "), "Lowercase"] or cut != known or spec.get("decoder") or spec.get("post_processor"):
+        raise ValueError("a tokenizer of another kind: words can't be encoded one by one in lower case")
 
 
 class LibraryTokenizer(WordCache):
-    """Words encoded by the tokenizers library itself."""
+    """Words encoded by the tokenizers library itself; only their ids are kept."""
 
     most = 900_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check_habits(json.load(f))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         super().__init__([t.content for t in self.library.get_added_tokens_decoder().values()])
 
-    def find(self, words: list[bytes]) -> list[tuple[bytes, str]]:
+    def find(self, words: list[bytes]) -> list[bytes]:
         found = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [(struct.pack(f"<{len(ids)}I", *ids), "") for ids in (e.ids for e in found)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+
+    def together(self, word: bytes, mark: bytes) -> bytes:
+        return word + mark
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        of = self.kept.__getitem__
+        for words in self.words_of(texts):
+            yield b"".join(map(of, words))
 
 
 class WordTokenizer(WordCache):
@@ -202,6 +218,7 @@ class WordTokenizer(WordCache):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_habits(spec)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges"):
             raise ValueError("a plain BPE model is needed")
@@ -214,6 +231,16 @@ class WordTokenizer(WordCache):
         self._bytes = {b: self._byte_char(b) for b in range(256)}
         self._raw = {t: i.to_bytes(4, "little") for t, i in self.pairs.vocab.items()}
 
+    def together(self, word: tuple[bytes, str], mark: tuple[bytes, str]) -> tuple[bytes, str]:
+        return word[0] + mark[0], f"{word[1]} {mark[1]}" if word[1] and mark[1] else word[1] or mark[1]
+
+    def documents(self, texts: list[bytes]) -> Iterator[tuple[bytes, str]]:
+        """Ids and decoded text of each text."""
+        of = self.kept.__getitem__
+        for words in self.words_of(texts):
+            found = list(map(of, words))
+            yield b"".join([x for x, _ in found]), " ".join([y for _, y in found if y])
+
     @staticmethod
     def _byte_char(b: int) -> str:
         """Printable Latin-1 bytes stand for themselves, the others for the code points from 256, in order."""
