@@ -27,14 +27,15 @@ def unit_rows(cells: list) -> tuple[np.ndarray, list[np.ndarray]]:
         if c is None or any(v is None for v in c):
             continue
         x = np.asarray(c, dtype=np.float64)
-        with np.errstate(over="ignore", invalid="ignore"):
+        if not len(x) or not np.isfinite(x).all() or not x.any():
+            continue
+        with np.errstate(over="ignore", under="ignore"):
+            norm = np.linalg.norm(x)
+        if not 1e-100 < norm < 1e100:  # squares too large or small for a double: scale by a power of two, which is exact
+            x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
             norm = np.linalg.norm(x)
-        if len(x) and np.isfinite(x).all() and norm > 0:
-            if not np.isfinite(norm):
-                x = x / np.abs(x).max()
-                norm = np.linalg.norm(x)
-            good[i] = True
-            out.append(x / norm)
+        good[i] = True
+        out.append(x / norm)
     return good, out
 
 
@@ -103,8 +104,8 @@ def near_vectors(
 
     Vectors link if their labels are equal and not null and their cosine is ``threshold`` or more; those that
     are null or zero or hold a null or a non-finite component link with nothing, and so do rows without a vec_id
-    or with vectors of another length than theirs (lengths that the sample misses have no pivots and no links).  Pivots come from at most ``sample_rows`` vectors; every
-    vector is indexed.  A vector is listed under its ``depth`` nearest of ``n_pivots`` (64 at most) pivots and
+    or with vectors of another length than theirs.  Pivots come from at most ``sample_rows`` vectors; every vector
+    is indexed.  Vectors of a length that the sample misses stand on one list for each label, where all are compared.  A vector is listed under its ``depth`` nearest of ``n_pivots`` (64 at most) pivots and
     compared with those on a list that have ``shared`` of these in common.
 
     Equal vectors of a label go through the index as one.  A list of over ``shard_rows`` vectors is dealt to
@@ -125,12 +126,12 @@ def near_vectors(
             cells, masks = [], []
             for ok in good:
                 x = next(at) if ok else None
-                points = pivots.get(len(x)) if ok else None
-                if points is None:
+                if not ok:
                     cells.append(None)
                     masks.append(None)
                     continue
-                near = np.argsort(-(points @ x), kind="stable")[:depth]
+                points = pivots.get(len(x))
+                near = np.argsort(-(points @ x), kind="stable")[:depth] if points is not None else np.zeros(1, dtype=np.int64)
                 mask = int(np.bitwise_or.reduce(np.uint64(1) << near.astype(np.uint64)))
                 cells.append(x.tobytes())
                 masks.append(mask - (mask >> 63 << 64))

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialize, require, word_count
+from docketry.llm.common import materialize, require, unused, word_count
+from docketry.llm.draws import multivariate_hypergeometric
 
 #: Bits of a document's random number that name its bucket: prefix sums run over buckets, then within each.
 BUCKET_BITS = 12
@@ -28,7 +29,7 @@ def split_quotas(blocks: list[int], shards: int, seed: int) -> np.ndarray:
             out[:, first] = counts
             return
         middle = (first + last) // 2
-        left = rng.multivariate_hypergeometric(counts, sum(sizes[first:middle]), method="marginals")
+        left = multivariate_hypergeometric(rng, counts, sum(sizes[first:middle]))
         split(left, first, middle)
         split(counts - left, middle, last)
 
@@ -134,15 +135,19 @@ def mix_sources(docs: DataFrame, keep_shard: bool = False, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, all columns unchanged, dealt to output
     shards and in random order within each; with ``mix_shard int`` if wanted.
 
-    Rows meet the plan by a number that they get as they are written to the shared folder.
+    Rows meet the plan by a number that they get as they are written to the shared folder.  A column ``mix_shard``
+    of the input stays, unless it is wanted from here; others may have any names.
     """
     seed = how.get("seed", 10)
-    tagged = materialize(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mix-docs")
-    plan = mixing_plan(tagged, row="__mix_row", **how).where("copies > 0")
-    plan = plan.select(F.col("row").alias("__mix_row"), F.posexplode("shards").alias("__mix_copy", "mix_shard"))
+    if keep_shard:
+        docs = docs.drop("mix_shard")
+    row, copy, shard = unused(docs, "mix_row", "mix_copy", "to_shard")
+    tagged = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    plan = mixing_plan(tagged, row=row, **how).where("copies > 0")
+    plan = plan.select(F.col("row").alias(row), F.posexplode("shards").alias(copy, shard))
     # a large shard comes in several parts, each a random share of it
     parts = max(1, tagged.count() // (how.get("shards", 16) * ROWS_PER_PART))
-    part = [F.pmod(F.xxhash64(F.lit(seed + 1), "__mix_row", "__mix_copy"), F.lit(parts))] if parts > 1 else []
-    out = tagged.join(plan, "__mix_row").repartition("mix_shard", *part)
-    out = out.sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed), "__mix_row", "__mix_copy"))
-    return out.select(*docs.columns, *(["mix_shard"] if keep_shard else []))
+    part = [F.pmod(F.xxhash64(F.lit(seed + 1), row, copy), F.lit(parts))] if parts > 1 else []
+    out = tagged.join(plan, row).repartition(shard, *part)
+    out = out.sortWithinPartitions(shard, F.xxhash64(F.lit(seed), row, copy))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col(shard).alias("mix_shard")] if keep_shard else []))

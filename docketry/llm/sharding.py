@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.llm.common import materialize
+from docketry.llm.common import discard, materialize, unused
+from docketry.llm.draws import multivariate_hypergeometric
 
 #: Rows that one task permutes.
 ROWS_PER_BLOCK = 200_000
@@ -15,69 +16,53 @@ ROWS_PER_BLOCK = 200_000
 
 def communication_matrix(block_rows: list[int], shard_rows: list[int], seed: int) -> list[list[int]]:
     """How many rows each block sends to each shard: rows and columns add up exactly, and the matrix has the
-    law that a uniform permutation of all rows would give it; from 10^9 rows left to place on, a rounded normal
-    stands for that law."""
+    law that a uniform permutation of all rows would give it, at every size."""
     rng = np.random.default_rng(seed)
     left, out = np.array(shard_rows, dtype=np.int64), []
     for n in block_rows:
-        if left.sum() < 10**9:
-            sent = rng.multivariate_hypergeometric(left, n, method="marginals")
-        else:  # beyond what numpy's generator takes: one column after another, by halves of the largest size it takes
-            sent = _large_draw(rng, left, n)
+        sent = multivariate_hypergeometric(rng, left, n)
         left = left - sent
         out.append(sent.tolist())
     return out
 
 
-def _large_draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """Sequential conditional draws with the normal limit of the hypergeometric law, rounded into its range."""
-    sent, rest, total = np.zeros_like(left), int(n), int(left.sum())
-    for k, have in enumerate(left.tolist()):
-        low, high = max(0, rest - (total - have)), min(have, rest)
-        share = have / total if total else 0.0
-        spread = rest * share * (1 - share) * (total - rest) / max(1, total - 1)
-        sent[k] = min(high, max(low, round(rng.normal(rest * share, max(spread, 0.0) ** 0.5))))
-        rest, total = rest - int(sent[k]), total - have
-    return sent
-
-
 def shard_uniformly(rows: DataFrame, n_shards: int = 24, seed: int = 5, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """``rows`` with ``shard int`` and ``slot long``: shard sizes differ by at most one (the first are larger),
-    slots are gapless from 0 in each shard, and every order of the rows is equally likely (nearly, from 10^9 rows on).
+    slots are gapless from 0 in each shard, and every order of the rows is equally likely.
 
     Only DataFrame operations touch rows.  Rows are numbered as they are written to the shared folder and
     dealt to blocks by that number, never by a value, so repeated rows, nulls and hot keys deal evenly.  The
     driver sees one count for each block (rows / ``rows_per_block`` of them) and draws the matrix of blocks
-    times shards.  An empty table gives an empty table.
+    times shards.  An empty table gives an empty table.  Columns ``shard`` and ``slot`` of the input are replaced.
     """
-    clash = [c for c in ("shard", "slot") if c in rows.columns]
-    if clash:
-        raise ValueError(f"columns {clash} are there already")
-    kept = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "shard-rows")
+    rows = rows.drop("shard", "slot")
+    row, block, bound, rank_, key, bucket, n, offset = unused(rows, "row", "block", "bound", "rank", "key", "bucket", "n", "offset")
+    kept = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "shard-rows")
     total = kept.count()
     blocks = max(1, -(-total // rows_per_block))
-    number = lambda salt: F.xxhash64("__row", F.lit(seed), F.lit(salt))
-    dealt = kept.withColumn("__block", F.pmod(number("block"), F.lit(blocks)).cast("int"))
-    counts = {r["__block"]: r["count"] for r in dealt.groupBy("__block").count().collect()}
+    number = lambda salt: F.xxhash64(row, F.lit(seed), F.lit(salt))
+    dealt = kept.withColumn(block, F.pmod(number("block"), F.lit(blocks)).cast("int"))
+    counts = {r[0]: r[1] for r in dealt.groupBy(block).count().collect()}
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], sizes, seed)
     bounds = [(b, np.cumsum(sent).tolist()) for b, sent in enumerate(matrix)]
-    bounds = rows.sparkSession.createDataFrame(bounds, "__block int, __bounds array<long>")
+    bounds = rows.sparkSession.createDataFrame(bounds, f"{block} int, {bound} array<long>")
     # the local permutation: a block's first rows in random order go to shard 0, the next to shard 1, ...
-    rank = F.row_number().over(W.partitionBy("__block").orderBy(number("first"), "__row")) - 1
-    sent = dealt.withColumn("__rank", rank.cast("long")).join(bounds, "__block")
-    shard = F.aggregate("__bounds", F.lit(0), lambda n, b: n + F.when(b <= F.col("__rank"), 1).otherwise(0))
-    sent = materialize(sent.withColumn("shard", shard).drop("__bounds", "__rank", "__block"), "shard-sent")
+    rank = F.row_number().over(W.partitionBy(block).orderBy(number("first"), row)) - 1
+    sent = dealt.withColumn(rank_, rank.cast("long")).join(bounds, block)
+    shard = F.aggregate(bound, F.lit(0), lambda m, b: m + F.when(b <= F.col(rank_), 1).otherwise(0))
+    sent = materialize(sent.withColumn("shard", shard).drop(bound, rank_, block), "shard-sent")
+    discard(kept)
     # the second permutation, in buckets of a shard so that no task sorts a whole shard
     bits = max(1, int(np.ceil(np.log2(max(2, total / n_shards / rows_per_block)))))
-    sent = sent.withColumn("__key", number("second")).withColumn("__bucket", F.shiftrightunsigned("__key", 64 - bits))
-    before = W.partitionBy("shard").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sent.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = offsets.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    place = F.row_number().over(W.partitionBy("shard", "__bucket").orderBy("__key", "__row")) - 1
-    out = sent.withColumn("__place", place).join(offsets, ["shard", "__bucket"])
-    out = out.withColumn("slot", (F.col("__offset") + F.col("__place")).cast("long"))
-    return out.select(*rows.columns, "shard", "slot")
+    sent = sent.withColumn(key, number("second")).withColumn(bucket, F.shiftrightunsigned(key, 64 - bits))
+    before = W.partitionBy("shard").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sent.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(n))
+    offsets = offsets.withColumn(offset, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    place = F.row_number().over(W.partitionBy("shard", bucket).orderBy(key, row)) - 1
+    out = sent.withColumn(rank_, place).join(offsets, ["shard", bucket])
+    out = out.withColumn("slot", (F.col(offset) + F.col(rank_)).cast("long"))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str, **how) -> None:

@@ -203,6 +203,6 @@ def keep_one_per_group(docs: DataFrame, **how) -> DataFrame:
     Rows with a null doc_id stay.  Rows that repeat the kept doc_id stay too.
     """
     found = simhash_components(docs, **how)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     return known.unionByName(docs.where("doc_id is null"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.common import TextBlock, arrow_batches, byte_texts, covered, discard, inside, materialize, require, settings, steps, window_hash
@@ -66,10 +66,10 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def _group_rows(docs: np.ndarray, prints: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Matches dealt to groups of documents."""
+    """Matches dealt to groups of documents, as :func:`group_of` says."""
     if not len(docs):
         return
-    group = docs % groups
+    group = ((docs ^ (docs >> 8) ^ (docs >> 16) ^ (docs >> 32)) & np.int64(0x7FFFFFFFFFFFFFFF)) % groups
     order = np.lexsort((prints, docs, group))
     docs, prints, group = docs[order], prints[order], group[order]
     for a, b in zip(*_runs_of(group)):
@@ -199,11 +199,17 @@ def index_for(docs: DataFrame, **how) -> FingerprintIndex:
     return FingerprintIndex(docs.sparkSession, buckets=buckets, groups=max(256, size // GROUP_BYTES), **how)
 
 
+def group_of(doc_id: Column, groups: int) -> Column:
+    """A document's group: ids with a common stride spread too, for their upper bits count as well."""
+    mixed = doc_id.bitwiseXOR(F.shiftright(doc_id, 8)).bitwiseXOR(F.shiftright(doc_id, 16)).bitwiseXOR(F.shiftright(doc_id, 32))
+    return mixed.bitwiseAND(F.lit((1 << 63) - 1)) % F.lit(groups)
+
+
 def remove_repeats(docs: DataFrame, hits: DataFrame, n_words: int, groups: int) -> DataFrame:
     """``doc_id, n_words long, n_removed long, kept_text string``: each text without the words of the windows in
     ``hits``; the words left are joined by one space."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    group = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit(groups))
+    group = group_of(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), groups)
     texts = docs.select(group.alias("group"), F.lit(1).alias("what"), "doc_id", "text", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("prints"))
     found = hits.select("group", F.lit(0).alias("what"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "docs", "prints")
 

@@ -45,6 +45,7 @@ _TWICE = re.compile(r"(.)\1")
 #: Characters of a fragment of a word at most, and fragments that are joined at most.
 FRAGMENT, FRAGMENTS = 3, 8
 _CACHE_WORDS = 400_000
+_PRIME = (1 << 61) - 1
 
 
 def letter_counts(docs: DataFrame) -> DataFrame:
@@ -100,29 +101,50 @@ class Restorer:
         return [(0, 0.3 if not char.isalpha() else 8.0)]
 
     def restore(self, token: str) -> list[str]:
-        """The best ``ways`` words that ``token`` may have been, best first."""
-        # (last two symbols) -> best ways to get there
-        states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+        """The best ``ways`` words that ``token`` may have been, best first; time follows the token's length.
+
+        A step keeps the 48 cheapest states (last two symbols), which all tokens but those with many ``*`` have fewer of.
+        """
+        # (last two symbols) -> best ways to get there: cost, a number for the word so far, and its letters from the last back
+        states: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, 0, None)]}
         before = ""
         for char in token.lower():
-            after: dict[tuple[int, int], list[tuple[float, str]]] = {}
+            after: dict[tuple[int, int], list[tuple]] = {}
             for (a, b), ways in states.items():
                 row = self._row(a, b)
                 for to, price in self.choices(char, before):
                     if to:
                         price += row[to]
-                        letter, key = LETTERS[to - 1], (b, to)
-                        after.setdefault(key, []).extend((s + price, w + letter) for s, w in ways)
+                        after.setdefault((b, to), []).extend((s + price, (w * 1_000_003 + to) % _PRIME, (letters, to)) for s, w, letters in ways)
                     else:
-                        after.setdefault((a, b), []).extend((s + price, w) for s, w in ways)
+                        after.setdefault((a, b), []).extend((s + price, w, letters) for s, w, letters in ways)
             before = char
-            states = {k: sorted(dict((w, s) for s, w in sorted(v, reverse=True)).items(), key=lambda x: x[1])[: self.ways] for k, v in after.items()}
-            states = {k: [(s, w) for w, s in v] for k, v in states.items()}
+            states = {k: self._cheapest(v) for k, v in after.items()}
             if len(states) > 48:
                 states = dict(sorted(states.items(), key=lambda x: x[1][0][0])[:48])
-        ends = [(s + self._row(a, b)[0], w) for (a, b), ways in states.items() for s, w in ways if w]
+        ends = [(s + self._row(a, b)[0], _spell(letters)) for (a, b), ways in states.items() for s, _, letters in ways if letters]
         return [w for _, w in sorted(ends)[: self.ways]]
 
+    def _cheapest(self, found: list[tuple]) -> list[tuple]:
+        """The cheapest way to each of the best words."""
+        if len(found) > 1:
+            found.sort(key=lambda x: x[:2])
+        out: list[tuple] = []
+        for way in found:
+            if all(way[1] != kept[1] for kept in out):
+                out.append(way)
+                if len(out) == self.ways:
+                    break
+        return out
+
+
+def _spell(letters: tuple | None) -> str:
+    out = []
+    while letters:
+        letters, to = letters
+        out.append(LETTERS[to - 1])
+    return "".join(reversed(out))
+
 
 def core_of(token: str) -> str:
     """A token without sentence marks at its ends, and without marks that stand twice or more at its end."""

@@ -146,8 +146,9 @@ def test_sharding_whole_table(spark, sf):
 def test_sharding_odd_rows(spark, odd):
     check_shards(sharding.shard_uniformly(odd, n_shards=5, rows_per_block=4), len(ODD), 5)
     assert sharding.shard_uniformly(odd.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        sharding.shard_uniformly(odd.withColumnRenamed("source", "slot"))
+    again = sharding.shard_uniformly(sharding.shard_uniformly(odd, n_shards=5), n_shards=3)  # columns of these names are replaced
+    assert again.columns == [*odd.columns, "shard", "slot"]
+    check_shards(again, len(ODD), 3)
 
 
 def test_communication_matrix_adds_up():
