@@ -13,8 +13,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Rows with a null end and self-loops are ignored.  The number of rounds follows the logarithm of a
     component's diameter.  Each round is written to the shared folder, so it is never computed twice, and
-    only a count and a checksum reach the driver.  A hub's edges are split by adaptive skew joins: the
-    minima that a round joins are tables of their own.
+    only a count and a checksum reach the driver.  A hub's edges are split by adaptive skew joins.
     """
     pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     pairs = pairs.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
@@ -26,13 +25,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         seen = (state.n, state.x)
         # the smallest neighbour of each edge's lower end, itself included
         ends = star.unionAll(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = materialize(ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
-        large = materialize(
-            star.join(lowest.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).distinct(), "cc-large"
-        )
-        parent = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-parent")
+        lowest = ends.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = materialize(star.join(lowest, "v").select("u", F.col("m").alias("v")).distinct(), "cc-large")
+        parent = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(moved.unionAll(parent.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        for old in (star, lowest, large, parent):
+        for old in (star, large):
             discard(old)
         star = after
