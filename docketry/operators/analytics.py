@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Outcomes that count as granted in part.
@@ -71,6 +74,16 @@ def daily_alarm(runs: DataFrame, calendar: DataFrame) -> DataFrame:
     return out.select("source", "day", runs_.alias("runs"), ok.alias("successes"), (ok <= 0).alias("breach"))
 
 
+def health_scores(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``score`` from 0 to 1, the weighted mean of the named shares that a source has (null ones don't count),
+    and ``place``, 1 for the unhealthiest."""
+    given = [F.when(F.col(n).isNotNull(), F.lit(w)).otherwise(0.0) for n, w in weights.items()]
+    gained = [F.coalesce(F.col(n), F.lit(0.0)) * w for n, w in weights.items()]
+    total = lambda columns: reduce(Column.__add__, columns)
+    scored = parts.withColumn("score", F.try_divide(total(gained), total(given)))
+    return scored.withColumn("place", F.rank().over(W.orderBy(F.col("score").asc_nulls_first())))
+
+
 def run_health(events: DataFrame) -> DataFrame:
     """Runs, successes, captured records of successful runs and mean response time by source."""
     captured = F.sum(F.when(F.col("success"), F.col("records_captured")).otherwise(0))

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,8 +18,11 @@ def last_values(batch: DataFrame, key: list[str], overwrite: list[str] = (), fil
     return batch.groupBy(*key).agg(*last, *filled, *firsts)
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: list[str], overwrite: list[str] = (), fill: list[str] = (), first: list[str] = ()) -> DataFrame:
-    """Target with the batch's rows merged in by key.
+def upsert(
+    target: DataFrame, batch: DataFrame, key: list[str], overwrite: list[str] = (), fill: list[str] = (), first: list[str] = (), now: Column | None = None
+) -> DataFrame:
+    """Target with the batch's rows merged in by key; ``now`` goes into ``updated_at`` of the rows that
+    the batch touches (M12).
 
     ``overwrite`` columns take the batch's value, ``fill`` columns take it unless it is null, ``first`` columns
     keep the target's value where the key is there already.
@@ -32,7 +35,9 @@ def upsert(target: DataFrame, batch: DataFrame, key: list[str], overwrite: list[
         if c in key:
             continue
         old, fresh = F.col(f"t.{c}"), F.col(f"n.{c}") if c in new.columns else None
-        if c in overwrite:
+        if c == "updated_at" and now is not None:
+            columns.append(F.when(F.col("n.__new").isNotNull(), now).otherwise(old).alias(c))
+        elif c in overwrite:
             columns.append(F.when(F.col("n.__new").isNotNull(), fresh).otherwise(old).alias(c))
         elif c in fill:
             columns.append(F.coalesce(fresh, old).alias(c))
@@ -59,13 +64,38 @@ def resolve_judges(aliases: DataFrame, names: DataFrame) -> DataFrame:
     return out.select("raw_name", "court_id", F.coalesce(F.col("known").cast("string"), new).alias("judge_id"), F.col("known").isNull().alias("is_new"))
 
 
-def fill_nulls(target: DataFrame, values: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Null fields take the values found for their key; others stay."""
-    found = values.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
-    out = target.join(found, key, "left")
+def fill_nulls(target: DataFrame, values: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Null fields take the values found for their key, of which ``values`` has one row each; others stay."""
+    found = values.select(*key, *[F.col(c).alias(f"__{c}") for c in columns])
+    out = target.join(found, list(key), "left")
     return out.select(*[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
+def backfill(target: DataFrame, values: DataFrame, key: list[str], columns: list[str], limit: int | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The target after :func:`fill_nulls`, and one row of statistics ``processed, updated`` (and how
+    many of each column were filled).
+
+    Rows with a null among ``columns`` are processed, with ``limit`` the first of them by key; ``updated`` have a
+    value found for one.  A dry run gives the target as it is, and the same statistics."""
+    lacking = F.lit(False)
+    for c in columns:
+        lacking = lacking | F.col(c).isNull()
+    wanted = target.where(lacking).select(*key, *columns)
+    wanted = wanted.orderBy(*key).limit(limit) if limit is not None else wanted
+    found = values.select(*key, *[F.col(c).alias(f"__{c}") for c in columns])
+    filled = wanted.join(found, list(key), "left")
+    fills = [F.col(c).isNull() & F.col(f"__{c}").isNotNull() for c in columns]
+    some = fills[0]
+    for f in fills[1:]:
+        some = some | f
+    counts = [F.count_if(f).alias(f"filled_{c}") for f, c in zip(fills, columns)]
+    statistics = filled.agg(F.count(F.lit(1)).alias("processed"), F.count_if(some).alias("updated"), *counts)
+    if dry_run:
+        return target, statistics
+    chosen = values.join(wanted.select(*key), list(key), "left_semi") if limit is not None else values
+    return fill_nulls(target, chosen, key, columns), statistics
+
+
 def delete_keys(target: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     """Target without the rows of some keys."""
     return target.join(keys.select(*key).distinct(), list(key), "left_anti")

@@ -37,6 +37,11 @@ def date_range(df: DataFrame, name: str, date_from: str | None = None, date_to:
     return df
 
 
+def unexpired(df: DataFrame, name: str = "expires_at", now: Column | None = None) -> DataFrame:
+    """Rows that expire later than now; those that say nothing are gone."""
+    return df.where(F.col(name) > (F.current_timestamp() if now is None else now))
+
+
 def keyset(columns: list[str], values: list, descending: bool) -> Column:
     """Rows after ``values`` in the order of ``columns``, as bounds that reach the file scan."""
     after = (lambda c, v: c < v) if descending else (lambda c, v: c > v)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -79,6 +80,34 @@ def match_all_terms(index: SearchIndex, terms: list[str]) -> DataFrame:
     return scored.where(F.col("n") == len(terms)).drop("n")
 
 
+def boolean_match(index: SearchIndex, must: list[str] = (), some: list[str] = (), without: list[str] = ()) -> DataFrame:
+    """``document_id`` of the documents with all of ``must``, one or more of ``some`` and none of ``without``
+    (terms of the index), in one aggregation over these terms' postings; with ``without`` alone, all others."""
+    if not must and not some:
+        rest = index.docs.select("document_id")
+        return rest.join(index.postings.where(F.col("term").isin(list(without))).select("document_id"), "document_id", "left_anti") if without else rest
+    hits = index.postings.where(F.col("term").isin([*must, *some, *without]))
+    has = lambda terms: F.count_if(F.col("term").isin(list(terms)))
+    found = hits.groupBy("document_id").agg(has(must).alias("n_must"), has(some).alias("n_some"), has(without).alias("n_without"))
+    wanted = (F.col("n_must") == len(set(must))) & (F.col("n_without") == 0)
+    return found.where(wanted & (F.col("n_some") > 0) if some else wanted).select("document_id")
+
+
+def most_similar(vectors: DataFrame, wanted: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """``query, <key>, cosine``: for each of some wanted vectors (``query, vector``; few, they are broadcast) the
+    ``k`` rows of ``vectors`` closest to it, ties by key.  Filter ``vectors`` by their metadata before.
+
+    Each task keeps its own ``k`` best of a query before these meet."""
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    both = vectors.join(F.broadcast(wanted))
+    cosine = F.try_divide(product(vector, "vector"), F.sqrt(product(vector, vector)) * F.sqrt(product("vector", "vector")))
+    scored = both.select("query", key, cosine.alias("cosine")).where("cosine is not null")
+    best = W.partitionBy("query", "part").orderBy(F.col("cosine").desc(), key)
+    some = scored.withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    last = W.partitionBy("query").orderBy(F.col("cosine").desc(), key)
+    return some.withColumn("place", F.row_number().over(last)).where(F.col("place") <= k).select("query", key, "cosine", "place")
+
+
 def highlighter(terms: list[str], stemmed: bool):
     """A function of texts that gives the part around the first match, with matches marked."""
     wanted = set(terms)

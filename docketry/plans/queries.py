@@ -71,23 +71,19 @@ def judge_date_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("judge_id", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("earliest", "latest")])
 
 
-_RULED = "r AS (SELECT * FROM rulings WHERE judge_id % 7 <> 0)"
-
-
 @query(
     over(
-        "judges", "rulings", more=f"{_RULED}, m AS ({_MOTIONS.replace('FROM rulings', 'FROM r')})",
-        query="SELECT j.id AS judge_id, j.canonical_name, (SELECT COUNT(*) FROM r WHERE r.judge_id = j.id) AS total_rulings, "
-        "coalesce((SELECT string_agg(outcome || '=' || n, ',' ORDER BY outcome) FROM (SELECT outcome, COUNT(*) AS n FROM r WHERE r.judge_id = j.id AND outcome IS NOT NULL GROUP BY outcome)), '') AS outcomes, "
+        "judges", "rulings", more=f"m AS ({_MOTIONS})",
+        query="SELECT j.id AS judge_id, j.canonical_name, (SELECT COUNT(*) FROM rulings r WHERE r.judge_id = j.id) AS total_rulings, "
+        "coalesce((SELECT string_agg(outcome || '=' || n, ',' ORDER BY outcome) FROM (SELECT outcome, COUNT(*) AS n FROM rulings r WHERE r.judge_id = j.id AND outcome IS NOT NULL GROUP BY outcome)), '') AS outcomes, "
         "coalesce((SELECT string_agg(motion_type || '=' || total || '/' || granted || '/' || other, ',' ORDER BY total DESC, motion_type) FROM m WHERE m.judge_id = j.id), '') AS motions, "
-        "(SELECT strftime(MIN(hearing_date), '%Y-%m-%d') FROM r WHERE r.judge_id = j.id) AS earliest, "
-        "(SELECT strftime(MAX(hearing_date), '%Y-%m-%d') FROM r WHERE r.judge_id = j.id) AS latest FROM judges j",
+        "(SELECT strftime(MIN(hearing_date), '%Y-%m-%d') FROM rulings r WHERE r.judge_id = j.id) AS earliest, "
+        "(SELECT strftime(MAX(hearing_date), '%Y-%m-%d') FROM rulings r WHERE r.judge_id = j.id) AS latest FROM judges j",
     )
 )
 def judge_analytics_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh judge has no rulings here, so that records of zeros show."""
-    rulings = domain.rulings(spark, sf_dir).where("judge_id % 7 <> 0")
-    out = analytics.judge_analytics(domain.judges(spark, sf_dir), rulings)
+    """A06."""
+    out = analytics.judge_analytics(domain.judges(spark, sf_dir), domain.rulings(spark, sf_dir))
     outcomes = F.array_join(F.transform("by_outcome", lambda x: F.concat_ws("=", x["outcome"], x["n"])), ",")
     motions = F.array_join(F.transform("by_motion_type", lambda x: F.concat(x["motion_type"], F.lit("="), F.concat_ws("/", x["total"], x["granted"], x["other"]))), ",")
     return out.select("judge_id", "canonical_name", "total_rulings", outcomes.alias("outcomes"), motions.alias("motions"), "earliest", "latest")
@@ -199,11 +195,12 @@ def batched_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # relations
 
-_LINKS = "links AS (SELECT DISTINCT case_id, judge_id FROM rulings WHERE case_id % 3 = 0)"
+_LINKS = "links AS (SELECT DISTINCT case_id, judge_id FROM rulings WHERE outcome = 'granted')"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return domain.rulings(spark, sf_dir).where("case_id % 3 = 0").select("case_id", "judge_id").distinct()
+    """Judges are linked to a case by what they granted; a case without such a ruling has no link."""
+    return domain.rulings(spark, sf_dir).where("outcome = 'granted'").select("case_id", "judge_id").distinct()
 
 
 @query(over("judges", "rulings", more=_LINKS, query="SELECT case_id, judge_id, canonical_name FROM links JOIN judges ON judges.id = judge_id"))
@@ -289,9 +286,8 @@ def case_detail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hit_ruling_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10, P23."""
     hits = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"))
-    rulings = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("ruling_id"))
-    out = hits.join(rulings.groupBy("document_id").agg(F.max("ruling_id").cast("string").alias("ruling_id")), "document_id", "left")
-    return out.select("document_id", F.coalesce("ruling_id", F.col("document_id").cast("string")).alias("ruling_id"))
+    rulings = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").cast("bigint").alias("ruling_id"))
+    return relations.ruling_ids_of_hits(hits, rulings).select("document_id", F.col("ruling_id").cast("string").alias("ruling_id"))
 
 
 @query(over("cases", "rulings", query="SELECT id FROM cases WHERE NOT EXISTS (SELECT 1 FROM rulings WHERE case_id = cases.id)"))
@@ -320,7 +316,7 @@ _SENTENCE_SQL = "[" + ", ".join("'" + s + "'" for s in _SENTENCES) + f"][CAST((l
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read_table(spark, sf_dir, "lineitem")
     pick = F.element_at(F.array(*[F.lit(s) for s in _SENTENCES]), ((F.col("l_partkey") + F.col("l_linenumber")) % len(_SENTENCES) + 1).cast("int"))
-    return line.select("l_orderkey", "l_linenumber", F.concat(pick, F.lit(" ("), F.col("l_returnflag"), F.lit(")")).alias("text"))
+    return line.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(pick, F.lit(" ("), F.col("l_returnflag"), F.lit(")")).alias("text"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {first_match('t', classify.OUTCOMES)} AS outcome FROM (SELECT l_orderkey, l_linenumber, {_SENTENCE_SQL} AS t FROM lineitem)")
@@ -532,32 +528,32 @@ _CASE_EVENTS = f"SELECT l_suppkey AS case_id, {_SEQ} AS seq, CASE WHEN l_orderke
 
 
 @query(
-    f"WITH e AS ({_CASE_EVENTS}), n AS (SELECT case_id, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title, arg_max(last_event, seq) AS last_event FROM e WHERE case_id % 2 = 0 GROUP BY case_id) "
-    "SELECT s_suppkey AS case_id, CASE WHEN s_suppkey % 4 = 0 THEN coalesce(n.title, 'old') WHEN s_suppkey % 2 = 0 THEN n.title ELSE 'old' END AS title, coalesce(n.last_event, -1) AS last_event "
-    "FROM supplier LEFT JOIN n ON n.case_id = s_suppkey WHERE s_suppkey % 2 = 1 OR s_suppkey % 4 = 0 OR n.case_id IS NOT NULL"
+    f"WITH e AS ({_CASE_EVENTS}), n AS (SELECT case_id, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title, arg_max(last_event, seq) AS last_event FROM e GROUP BY case_id), "
+    "t AS (SELECT s_suppkey AS case_id, 'old' AS title, -1 AS last_event FROM supplier WHERE s_acctbal >= 0) "
+    "SELECT case_id, coalesce(n.title, t.title) AS title, coalesce(n.last_event, t.last_event) AS last_event FROM t FULL JOIN n USING (case_id)"
 )
 def upsert_case_last_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last title that isn't null, over the old one; odd cases aren't in the batch, some aren't in the target."""
-    target = read_table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 1 or s_suppkey % 4 = 0")
+    """The last title that isn't null, over the old one; the target has the suppliers out of debt."""
+    target = read_table(spark, sf_dir, "supplier").where("s_acctbal >= 0")
     target = target.select(F.col("s_suppkey").alias("case_id"), F.lit("old").alias("title"), F.lit(-1).cast("bigint").alias("last_event"))
-    return merge.upsert(target, _case_events(spark, sf_dir).where("case_id % 2 = 0"), ["case_id"], overwrite=["last_event"], fill=["title"])
+    return merge.upsert(target, _case_events(spark, sf_dir), ["case_id"], overwrite=["last_event"], fill=["title"])
 
 
 @query(
-    "SELECT s_name AS raw_name, s_nationkey AS court_id, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE sha256(s_nationkey || '|' || s_name) END AS judge_id, s_suppkey % 3 <> 0 AS is_new FROM supplier"
+    "SELECT s_name AS raw_name, s_nationkey AS court_id, CASE WHEN s_nationkey < 8 THEN CAST(s_suppkey AS VARCHAR) ELSE sha256(s_nationkey || '|' || s_name) END AS judge_id, s_nationkey >= 8 AS is_new FROM supplier"
 )
 def resolve_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the names are known; each comes twice."""
+    """The names of some courts are known; each comes twice."""
     judges = domain.judges(spark, sf_dir)
-    aliases = judges.where("id % 3 = 0").select(F.col("canonical_name").alias("raw_name"), "court_id", F.col("id").alias("judge_id"))
+    aliases = judges.where("court_id < 8").select(F.col("canonical_name").alias("raw_name"), "court_id", F.col("id").alias("judge_id"))
     names = judges.select(F.col("canonical_name").alias("raw_name"), "court_id")
     return merge.resolve_judges(aliases, names.unionAll(names))
 
 
-@query(f"WITH e AS ({_CASE_EVENTS}) SELECT case_id, MIN(seq) AS seq, arg_min(last_event, seq) AS last_event FROM e WHERE case_id % 5 <> 0 GROUP BY case_id")
+@query(f"WITH e AS ({_CASE_EVENTS}) SELECT case_id, MIN(seq) AS seq, arg_min(last_event, seq) AS last_event FROM e WHERE case_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY case_id")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fifth is there already; of the rest the first event counts."""
-    target = read_table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("case_id"))
+    """Suppliers in debt are there already; of the rest the first event counts."""
+    target = read_table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("case_id"))
     return merge.insert_absent(target, _case_events(spark, sf_dir).drop("title"), ["case_id"])
 
 
@@ -581,9 +577,11 @@ def latest_text_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def backfill_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is there stays; what is null comes from the text.  All rows in one pass."""
-    t = F.col("text")
-    kept = F.when(t.endswith("(R)"), "kept")
-    return _sentences(spark, sf_dir).select("l_orderkey", "l_linenumber", F.coalesce(kept, classify.outcome(t)).alias("outcome"), classify.motion_type(t).alias("motion_type"))
+    t, key = F.col("text"), ["l_orderkey", "l_linenumber", "l_partkey"]
+    rows = _sentences(spark, sf_dir)
+    target = rows.select(*key, F.when(t.endswith("(R)"), "kept").alias("outcome"), F.lit(None).cast("string").alias("motion_type"))
+    values = rows.select(*key, classify.outcome(t).alias("outcome"), classify.motion_type(t).alias("motion_type")).dropDuplicates(key)
+    return merge.fill_nulls(target, values, key, ["outcome", "motion_type"]).drop("l_partkey")
 
 
 @query(
@@ -737,16 +735,16 @@ def volume_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     over(
-        "rulings",
-        query="SELECT judge_id, CAST(COUNT(*) AS BIGINT) AS alerts, MIN(case_id) AS first_case FROM rulings WHERE (judge_id % 10 = 3 AND outcome = 'granted') OR (judge_id % 10 = 4 AND motion_type IN (SELECT MIN(motion_type) FROM rulings)) GROUP BY judge_id",
+        "rulings", "judges",
+        query="SELECT judge_id, CAST(COUNT(*) AS BIGINT) AS alerts, MIN(case_id) AS first_case FROM rulings JOIN judges ON judges.id = judge_id WHERE (court_id < 12 AND outcome = 'granted') OR (court_id >= 12 AND motion_type IN (SELECT MIN(motion_type) FROM rulings)) GROUP BY judge_id",
     )
 )
 def alerts_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subscriptions to a judge's outcomes or to a motion type, and a digest for each."""
+    """Subscriptions to what a judge grants, or, in some courts, to their rulings on a motion type, and a digest for each."""
     rulings = domain.rulings(spark, sf_dir)
     least = rulings.agg(F.min("motion_type").alias("wanted"))
-    subscriptions = domain.judges(spark, sf_dir).where("id % 10 in (3, 4)").join(F.broadcast(least)).select(
-        F.col("id").alias("judge_id"), F.when(F.col("id") % 10 == 3, "granted").alias("want_outcome"), F.when(F.col("id") % 10 == 4, F.col("wanted")).alias("want_motion")
+    subscriptions = domain.judges(spark, sf_dir).join(F.broadcast(least)).select(
+        F.col("id").alias("judge_id"), F.when(F.col("court_id") < 12, "granted").alias("want_outcome"), F.when(F.col("court_id") >= 12, F.col("wanted")).alias("want_motion")
     )
     hit = (F.col("outcome") == F.col("want_outcome")) | (F.col("motion_type") == F.col("want_motion"))
     return rulings.join(subscriptions, "judge_id").where(hit).groupBy("judge_id").agg(F.count(F.lit(1)).alias("alerts"), F.min("case_id").alias("first_case"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that every session of this library wants.
@@ -20,5 +22,11 @@ def build_session(name: str = "docketry", master: str | None = None, **settings:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors see: in ``spark.checkpoint.dir``, else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

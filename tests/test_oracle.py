@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from docketry.plans.queries import ORACLE_SQL, QUERIES
+from docketry.plans.catalog import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
