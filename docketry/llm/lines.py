@@ -2,7 +2,7 @@
 
 Distinct lines get 32 minima of hashed shingles.  The minima stand in a 4 by 8 grid; each of 16 of its lines
 (columns and one set of diagonals) is a band, so that two lines of similarity 0.8 share no band in 0.2% of cases
-(independent minima; 0.03% at 0.85).  In large buckets each of two finer levels misses another 0.2%.  What shares
+(independent minima; 0.03% at 0.85).  In large buckets a finer level misses another 0.2%.  What shares
 a band is compared in full unless bitmaps prove it unlike, and a distributed union-find joins what is alike.
 """
 
@@ -19,7 +19,7 @@ from docketry.llm.graph import connected_components
 
 MINIMA = 32
 #: Fresh minima, minima in a band, and bands, each time that lines from large buckets are banded again.
-FINER = [(64, 6, 32), (96, 8, 56)]
+FINER = [(96, 8, 56)]
 #: Ids of lines that are sent to all executors at most (8 MB); more are met by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Lines on each side of a block of comparisons, about.
