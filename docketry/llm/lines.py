@@ -25,7 +25,7 @@ BROADCAST_IDS = 1_000_000
 #: Lines on each side of a block of comparisons, about.
 BLOCK_LINES = 256
 #: 64-bit words of a line's bitmap of shingles (a power of two).
-BITMAP_WORDS = 32
+BITMAP_WORDS = 64
 #: Places of the 4 by 8 grid that make up a band: columns, and broken diagonals.
 BANDS = [[8 * r + (c + slope * r) % 8 for r in range(4)] for slope in range(2) for c in range(8)]
 _BLANKS = " \t\r\f\v"
