@@ -26,6 +26,8 @@ BROADCAST_IDS = 1_000_000
 BLOCK_LINES = 256
 #: 64-bit words of a line's bitmap of shingles (a power of two).
 BITMAP_WORDS = 64
+#: Words of a bitmap that are gathered together.
+WORD_GROUP = 8
 #: Places of the 4 by 8 grid that make up a band: columns, and broken diagonals.
 BANDS = [[8 * r + (c + slope * r) % 8 for r in range(4)] for slope in range(2) for c in range(8)]
 _BLANKS = " \t\r\f\v"
@@ -90,16 +92,20 @@ def of_ids(table: DataFrame, ids: DataFrame, label: str) -> DataFrame:
 
 
 def bitmaps(kinds: DataFrame, k: int) -> DataFrame:
-    """``id, most, w0, w1, ...``: how many shingles a line has at most, and the words of a bitmap of the slots that
-    they fall into."""
-    rows = _hashed(kinds, k, "most")
+    """``id, most, bits``: how many shingles a line has at most, and the words of a bitmap of the slots that they
+    fall into.  Words are gathered in groups of a few and stand in one array: tables of many columns are slow."""
     word, bit = F.shiftrightunsigned("h", 6).bitwiseAND(BITMAP_WORDS - 1), F.expr("shiftleft(1L, h & 63)")
-    return rows.groupBy("id").agg(F.max("most").alias("most"), *[F.bit_or(F.when(word == j, bit).otherwise(0)).alias(f"w{j}") for j in range(BITMAP_WORDS)])
+    rows = _hashed(kinds, k, "most").select("id", "most", (word % WORD_GROUP).alias("at"), F.floor(word / WORD_GROUP).cast("int").alias("part"), bit.alias("bit"))
+    parts = rows.groupBy("id", "part").agg(F.max("most").alias("most"), *[F.bit_or(F.when(F.col("at") == j, F.col("bit")).otherwise(0)).alias(f"p{j}") for j in range(WORD_GROUP)])
+    parts = parts.select("id", "part", "most", F.array(*[f"p{j}" for j in range(WORD_GROUP)]).alias("p"))
+    each, none = range(BITMAP_WORDS // WORD_GROUP), F.array_repeat(F.lit(0).cast("long"), WORD_GROUP)
+    found = parts.groupBy("id").agg(F.max("most").alias("most"), *[F.max(F.when(F.col("part") == j, F.col("p"))).alias(f"g{j}") for j in each])
+    return found.select("id", "most", F.flatten(F.array(*[F.coalesce(f"g{j}", none) for j in each])).alias("bits"))
 
 
 def map_columns(name: str) -> list[Column]:
     """The columns of :func:`bitmaps` under names that begin with ``name``."""
-    return [F.col(c).alias(name + c) for c in ("most", *(f"w{j}" for j in range(BITMAP_WORDS)))]
+    return [F.col(c).alias(name + c) for c in ("most", "bits")]
 
 
 def may_be_alike(x: str, y: str, similarity: float) -> Column:
@@ -108,23 +114,29 @@ def may_be_alike(x: str, y: str, similarity: float) -> Column:
     A slot that one line fills and the other doesn't holds a shingle that they don't share.  Sets of n and m
     elements with d of them not shared have a Jaccard similarity of (n + m - d) / (n + m + d).
     """
-    apart = [F.bit_count(F.col(f"{x}w{j}").bitwiseXOR(F.col(f"{y}w{j}"))) for j in range(BITMAP_WORDS)]
-    return (1 + similarity) * sum(apart[1:], apart[0]) <= (1 - similarity) * (F.col(f"{x}most") + F.col(f"{y}most")) + 1e-6
+    differ = F.zip_with(x + "bits", y + "bits", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(differ, F.lit(0), lambda all, d: all + d)
+    return (1 + similarity) * apart <= (1 - similarity) * (F.col(f"{x}most") + F.col(f"{y}most")) + 1e-6
 
 
-def alike(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+def alike(pairs: DataFrame, maps: DataFrame | None, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The ``pairs (a, b)`` of ids whose lines' shingle sets have that Jaccard similarity or more, as a written table.
 
-    Bitmaps tell most of the others apart; shingle sets are worked out for what is left.
+    Bitmaps, if given, tell most of the others apart; the shingle set of each line in what is left is worked out once.
     """
-    both = pairs.join(maps.select(F.col("id").alias("a"), *map_columns("x")), "a").join(maps.select(F.col("id").alias("b"), *map_columns("y")), "b")
-    both = both.where(may_be_alike("x", "y", similarity)).select("a", "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # each step stands behind a generator, so that it runs once a pair and isn't repeated in what follows
-    once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
-    both = both.select("a", "b", once(x=_shingles("x", k), y=_shingles("y", k)).alias("s"))
-    both = both.select("a", "b", once(all=F.size(F.array_union("s.x", "s.y")), shared=F.size(F.array_intersect("s.x", "s.y"))).alias("r"))
-    return materialize(both.where(F.col("r.shared") >= F.lit(similarity) * F.col("r.all")).select("a", "b"), "line-edges")
+    left = pairs
+    if maps is not None:
+        both = pairs.join(maps.select(F.col("id").alias("a"), *map_columns("x")), "a").join(maps.select(F.col("id").alias("b"), *map_columns("y")), "b")
+        left = materialize(both.where(may_be_alike("x", "y", similarity)).select("a", "b"), "line-candidates")
+    lines = of_ids(texts, left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-compared")
+    sets = materialize(lines.select("id", F.array_distinct(_shingles("line", k)).alias("s")), "line-sets")
+    both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    # sets of n and m elements that share s have n + m - s elements together
+    shared = F.size(F.array_intersect("x", "y"))
+    out = materialize(both.where((1 + similarity) * shared >= similarity * (F.size("x") + F.size("y")) - 1e-9).select("a", "b"), "line-edges")
+    for old in (lines, sets):
+        discard(old)
+    return out
 
 
 def finer_bands(level: int) -> list[list[int]]:
@@ -198,7 +210,7 @@ def similar_lines(signed: DataFrame, kinds: DataFrame, k: int, similarity: float
         some = met.where(few).join(met.where(few & F.col("unlike")).select("key").distinct(), "key", "left_semi")
         pairs = materialize(blocks(some.join(maps, "id"), similarity).join(done, ["a", "b"], "left_anti"), "line-pairs")
         done = done.unionByName(pairs)
-        pending = alike(pairs, maps, texts, k, similarity)
+        pending = alike(pairs, None, texts, k, similarity)  # the bitmaps have been compared
         crowded = met.where((F.col("n") > small) & F.col("unlike")).select("key").distinct()
         for old in (ids, spokes, texts, maps):
             discard(old)
