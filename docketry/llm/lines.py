@@ -24,6 +24,8 @@ FINER = [(96, 8, 56)]
 BROADCAST_IDS = 1_000_000
 #: Lines on each side of a block of comparisons, about.
 BLOCK_LINES = 256
+#: Shingles in one row while minima are taken.
+NEIGHBOURS = 4
 #: 64-bit words of a line's bitmap of shingles (a power of two).
 BITMAP_WORDS = 64
 #: Words of a bitmap that are gathered together.
@@ -80,8 +82,15 @@ def minima(kinds: DataFrame, k: int, start: int = 0, count: int = MINIMA) -> Dat
     """``id, m array<int>`` of lines ``(id, line)`` with ``k`` characters or more: ``count`` minima from the ``start``-th.
 
     The j-th minimum is taken over the shingles' hashes xor a fixed number, which is a random order of its own.
+    A row holds a few neighbouring shingles, whose least is found before the line's minimum is looked up; behind
+    the last shingle it is repeated, which changes no minimum.
     """
-    found = _hashed(kinds, k).groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.expr(f"hash({j}, 'order')"))).alias(f"m{j}") for j in range(start, start + count)])
+    rows = kinds.where(F.char_length("line") >= k).select("id", F.expr(_characters("line")).alias("b"))
+    rows = rows.withColumn("last", F.octet_length("b") - (2 * k - 1))
+    rows = rows.select("id", "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * NEIGHBOURS))).alias("i"))
+    rows = rows.select("id", *[F.expr(f"hash(substring(b, least(i + {2 * n}, last), {2 * k}))").alias(f"h{n}") for n in range(NEIGHBOURS)])
+    order = lambda j: [F.col(f"h{n}").bitwiseXOR(F.expr(f"hash({j}, 'order')")) for n in range(NEIGHBOURS)]
+    found = rows.groupBy("id").agg(*[F.min(F.least(*order(j))).alias(f"m{j}") for j in range(start, start + count)])
     return found.select("id", F.array(*[f"m{j}" for j in range(start, start + count)]).alias("m"))
 
 

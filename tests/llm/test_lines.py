@@ -187,3 +187,12 @@ def test_recall_of_near_copies_in_large_buckets(spark):
     rng = random.Random(12)
     common = rng.choices("abcdefghijklmnopqrstuvwxyz", k=400)
     assert recall(spark, near_pairs(rng, 150, common, 100, 6)) >= 0.97
+
+
+def test_minima_over_neighbours_are_those_over_single_shingles(spark):
+    texts = ["x" * n for n in range(6, 20)] + ["The quick brown fox", "Äöü jumps over", "a" * 5000 + "b", ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    each = lines._hashed(table, K)
+    order = [F.expr(f"hash({j}, 'order')") for j in range(5)]
+    want = each.groupBy("id").agg(F.array(*[F.min(F.col("h").bitwiseXOR(o)) for o in order]).alias("m"))
+    assert sorted(lines.minima(table, K, 0, 5).collect()) == sorted(want.collect())
