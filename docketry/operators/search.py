@@ -56,6 +56,22 @@ def build_index(docs: DataFrame, text: str = "ruling_text", stemmed: bool = True
     return SearchIndex(stored, counts.select("term", "document_id", "tf"), terms, stemmed)
 
 
+def refresh_index(index: SearchIndex, docs: DataFrame, text: str = "ruling_text", content: str = "content_hash") -> SearchIndex:
+    """``index`` after ``docs``, one row a ``document_id``, were put into it.
+
+    Documents whose stored ``content`` equals theirs are skipped, the others replace what is stored or are new; a
+    null ``content`` equals nothing.  Only the changed ones are cut into words.  Write the result to a new folder,
+    not over the files that ``index`` reads.
+    """
+    changed = docs.join(index.docs.select("document_id", content), ["document_id", content], "left_anti")
+    fresh = build_index(changed, text, index.stemmed)
+    gone = changed.select("document_id")
+    stored = index.docs.join(gone, "document_id", "left_anti").unionByName(fresh.docs, allowMissingColumns=True)
+    old = index.postings.select("term", "document_id", "tf").join(gone, "document_id", "left_anti")
+    postings = old.select("term", "document_id", "tf").unionByName(fresh.postings)
+    return SearchIndex(stored, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.stemmed)
+
+
 def analyze_query(index: SearchIndex, query: str) -> list[str]:
     words = query_words(query)
     return list(dict.fromkeys(stem(w) for w in words)) if index.stemmed else words

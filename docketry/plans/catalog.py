@@ -305,3 +305,16 @@ def latest_rulings_of_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three of each judge."""
     order = [F.col(c).desc() for c in ("hearing_date", "case_id", "seq")]
     return relations.top_per_group(domain.rulings(spark, sf_dir), ["judge_id"], order, 3).select("judge_id", "case_id", "seq")
+
+
+_AMENDED = "(SELECT doc_id, CASE WHEN lang = 'en' THEN text || ' amended' ELSE text END AS text FROM documents)"
+
+
+@query(f"WITH {_TOKENS.replace('FROM documents', 'FROM ' + _AMENDED)} SELECT term, COUNT(DISTINCT doc_id) AS df FROM tokens GROUP BY term")
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies after English texts were amended; documents of equal content are skipped."""
+    index, content = _index(spark, sf_dir), F.md5("text").alias("content_hash")
+    index.docs = index.docs.select("*", content)
+    amended = F.when(F.col("lang") == "en", F.concat("text", F.lit(" amended"))).otherwise(F.col("text")).alias("text")
+    batch = index.docs.select("document_id", "lang", "source", "hearing_date", amended).select("*", content)
+    return search.refresh_index(index, batch, "text").terms

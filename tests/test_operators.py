@@ -108,6 +108,21 @@ def test_search(spark, tmp_path):
     assert search.search(index, "demurrer", include_future=True)[1].count() == 2
 
 
+def test_refresh_index(spark):
+    """An equal hash is skipped even though the text differs; a null hash, another hash and a new id are indexed."""
+    schema = "document_id string, content_hash string, ruling_text string"
+    before = [("a", "1", "alpha one"), ("b", "2", "beta"), ("c", None, "gamma"), ("d", "4", None)]
+    batch = [("a", "1", "skipped"), ("b", "3", "delta"), ("c", None, "gamma anew"), ("d", "5", ""), ("e", "6", "alpha")]
+    index = search.refresh_index(search.build_index(spark.createDataFrame(before, schema), stemmed=False), spark.createDataFrame(batch, schema))
+    assert {r.document_id: r.ruling_text for r in index.docs.collect()} == {"a": "alpha one", "b": "delta", "c": "gamma anew", "d": "", "e": "alpha"}
+    assert {(r.term, r.document_id) for r in index.postings.collect()} == {("alpha", "a"), ("one", "a"), ("delta", "b"), ("gamma", "c"), ("anew", "c"), ("alpha", "e")}
+    assert {r.term: r.df for r in index.terms.collect()} == {"alpha": 2, "one": 1, "delta": 1, "gamma": 1, "anew": 1}
+    again = search.refresh_index(index, spark.createDataFrame(batch, schema).where("document_id <> 'c'"))
+    assert sorted(again.docs.collect()) == sorted(index.docs.select(again.docs.columns).collect())
+    empty = search.refresh_index(index, spark.createDataFrame([], schema))
+    assert empty.terms.count() == 5 and empty.docs.count() == 5
+
+
 PAGE = """<html><body><form><input type="hidden" name="__VIEWSTATE" value="a&amp;b"/><select><option value="ALH,3,03/02/2026">(Alhambra Courthouse:  Dept. 3) March 2, 2026</option>
 <option value="bad">x</option><option value="BH,205,99/99/2026">(Beverly Hills: Dept. 205) ?</option></select></form><a href="/a.pdf">One&nbsp; <b>file</b></a><a class="x" href="/a.pdf">again</a>
 <a href="b.html">b</a><script>no</script><div id="speechSynthesis">The motion<div>is <b>GRANTED</b></div></div><p>after</p></body></html>"""
