@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,6 +20,7 @@ from docketry.operators.paging import Page, date_range, decode_cursor, equal_fil
 K1, B, FRAGMENT = 1.2, 0.75, 200
 #: Partitions of stored postings by term, so that a query reads only its terms'.
 TERM_BUCKETS = 64
+_ALIAS = "n long, folder string"
 
 
 @dataclass
@@ -72,6 +74,29 @@ def refresh_index(index: SearchIndex, docs: DataFrame, text: str = "ruling_text"
     return SearchIndex(stored, postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.stemmed)
 
 
+def publish_index(index: SearchIndex, root: str) -> str:
+    """Write ``index`` as a new version under ``root`` and point the alias at it; returns the version's folder.
+
+    The alias is one appended row, written when the version is whole: readers meet the old version or the new one.
+    Older versions stay for readers that have them open.
+    """
+    spark, folder = index.docs.sparkSession, f"{root}/versions/{uuid.uuid4().hex}"
+    index.write(folder)
+    spark.createDataFrame([], _ALIAS).coalesce(1).write.mode("ignore").parquet(f"{root}/alias")
+    last = spark.read.schema(_ALIAS).parquet(f"{root}/alias").agg(F.max("n")).first()[0]
+    spark.createDataFrame([((last or 0) + 1, folder)], _ALIAS).coalesce(1).write.mode("append").parquet(f"{root}/alias")
+    return folder
+
+
+def published_index(spark: SparkSession, root: str, stemmed: bool = True) -> SearchIndex:
+    """The index that the alias under ``root`` points at; of two published at once, the later folder by name."""
+    alias = spark.read.schema(_ALIAS).parquet(f"{root}/alias")
+    folder = alias.agg(F.max(F.struct("n", "folder")).alias("last")).first().last
+    if folder is None:
+        raise ValueError(f"no index is published under {root}")
+    return SearchIndex.read(spark, folder.folder, stemmed)
+
+
 def analyze_query(index: SearchIndex, query: str) -> list[str]:
     words = query_words(query)
     return list(dict.fromkeys(stem(w) for w in words)) if index.stemmed else words

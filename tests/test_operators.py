@@ -123,6 +123,16 @@ def test_refresh_index(spark):
     assert empty.terms.count() == 5 and empty.docs.count() == 5
 
 
+def test_publish_index(spark, tmp_path):
+    """The alias moves to what was published last; a refresh can be published while the old version is read."""
+    root, schema = str(tmp_path / "indexes"), "document_id string, content_hash string, ruling_text string"
+    search.publish_index(search.build_index(spark.createDataFrame([("a", "1", "alpha")], schema), stemmed=False), root)
+    old = search.published_index(spark, root, stemmed=False)
+    folder = search.publish_index(search.refresh_index(old, spark.createDataFrame([("b", "2", "beta")], schema)), root)
+    assert {r.term for r in search.published_index(spark, root, stemmed=False).terms.collect()} == {"alpha", "beta"}
+    assert {r.term for r in old.terms.collect()} == {"alpha"} and folder.startswith(f"{root}/versions/")
+
+
 PAGE = """<html><body><form><input type="hidden" name="__VIEWSTATE" value="a&amp;b"/><select><option value="ALH,3,03/02/2026">(Alhambra Courthouse:  Dept. 3) March 2, 2026</option>
 <option value="bad">x</option><option value="BH,205,99/99/2026">(Beverly Hills: Dept. 205) ?</option></select></form><a href="/a.pdf">One&nbsp; <b>file</b></a><a class="x" href="/a.pdf">again</a>
 <a href="b.html">b</a><script>no</script><div id="speechSynthesis">The motion<div>is <b>GRANTED</b></div></div><p>after</p></body></html>"""
