@@ -12,7 +12,7 @@ from docketry.plans.queries import _RATE, _TOKENS, ORACLE_SQL, QUERIES, TODAY, _
 from docketry.plans.sql import over
 from docketry.session import read_table, scratch_folder
 from docketry.sources import domain, files
-from docketry.streaming import load
+from docketry.streaming import health, load
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -318,3 +318,15 @@ def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     amended = F.when(F.col("lang") == "en", F.concat("text", F.lit(" amended"))).otherwise(F.col("text")).alias("text")
     batch = index.docs.select("document_id", "lang", "source", "hearing_date", amended).select("*", content)
     return search.refresh_index(index, batch, "text").terms
+
+
+@query(
+    "SELECT event_id AS id, user_id AS scraper_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS started, strftime(ts + to_milliseconds(CAST(round(value * 1000) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS completed, "
+    "CASE WHEN value >= 10 THEN 'success' WHEN event_id % 9 > 0 THEN 'partial' ELSE 'failure' END AS status, event_id % 9 AS records_captured FROM events"
+)
+def scraper_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event is a run, sent twice here."""
+    e = read_table(spark, sf_dir, "events")
+    sent = e.select("event_id", F.col("user_id").alias("scraper_id"), (F.col("value") >= 10).alias("success"), (F.col("event_id") % 9).alias("records_captured"), F.col("value").alias("response_time_seconds"), F.lit(None).cast("string").alias("error_message"), F.col("ts").alias("run_timestamp"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return health.run_rows(sent.unionByName(sent)).select("id", "scraper_id", at("started_at").alias("started"), at("completed_at").alias("completed"), "status", "records_captured")

@@ -1,4 +1,4 @@
-"""Windows over runs and attempts (A08, A09, A11, T-S10, T-S11)."""
+"""Windows over runs and attempts, and the table of runs (A08, A09, A11, D13, T-S10, T-S11)."""
 
 from __future__ import annotations
 
@@ -21,6 +21,26 @@ def daily_successes(health: DataFrame, late: str = "1 day") -> DataFrame:
     return out.groupBy("scraper_id", day.alias("w")).agg(F.count(F.lit(1)).alias("runs"), F.count_if("success").alias("successes")).select("scraper_id", F.col("w.start").cast("date").alias("day"), "runs", "successes")
 
 
+def run_rows(health: DataFrame) -> DataFrame:
+    """A row of the run table for each health event; an event that was sent twice counts once.
+
+    A failed run that captured something is ``partial``; what is unknown counts as a failure, and as no record.
+    """
+    rest = [F.col(c) for c in ("scraper_id", "run_timestamp", "success", "records_captured", "error_message", "response_time_seconds")]
+    runs = health.groupBy("event_id").agg(F.min(F.struct(*rest)).alias("run")).select("event_id", "run.*")
+    captured = F.coalesce("records_captured", F.lit(0))
+    status = F.when(F.col("success"), "success").when(captured > 0, "partial").otherwise("failure")
+    elapsed = F.round(F.col("response_time_seconds") * 1000).cast("int").alias("response_time_ms")
+    rows = runs.select(F.col("event_id").alias("id"), "scraper_id", F.col("run_timestamp").alias("started_at"), status.alias("status"), captured.alias("records_captured"), "error_message", elapsed)
+    return rows.withColumn("completed_at", F.timestamp_add("MILLISECOND", F.col("response_time_ms"), F.col("started_at")))
+
+
+def load_runs(batch: DataFrame, batch_id: int, base: str) -> None:
+    """One micro-batch of health events into the run table at ``base``, for ``foreachBatch``; a replayed batch
+    leaves what it left before."""
+    run_rows(batch).write.mode("overwrite").parquet(f"{base}/bid={batch_id}")
+
+
 def number_attempts(attempts: DataFrame, key: str, at: str, order: str, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED) -> DataFrame:
     """Each attempt with its window's start, its number in the window and whether it is allowed.
 

@@ -133,6 +133,17 @@ def test_publish_index(spark, tmp_path):
     assert {r.term for r in old.terms.collect()} == {"alpha"} and folder.startswith(f"{root}/versions/")
 
 
+def test_run_table(spark, tmp_path):
+    schema = "event_id string, scraper_id string, success boolean, records_captured int, response_time_seconds double, error_message string, run_timestamp timestamp"
+    at = datetime.datetime(2026, 3, 1, 8)
+    rows = [("e1", "a", True, 3, 1.5, None, at), ("e1", "a", True, 3, 1.5, None, at), ("e2", "a", False, 2, 0.25, "boom", at), ("e3", "b", False, 0, None, "boom", at), ("e4", "b", None, None, 1.0, None, None)]
+    for _ in range(2):  # the second time is a replay
+        health.load_runs(spark.createDataFrame(rows, schema), 7, str(tmp_path / "runs"))
+    got = {r.id: (r.status, r.records_captured, r.response_time_ms, r.completed_at) for r in spark.read.parquet(str(tmp_path / "runs")).collect()}
+    done = lambda ms: at + datetime.timedelta(milliseconds=ms)
+    assert got == {"e1": ("success", 3, 1500, done(1500)), "e2": ("partial", 2, 250, done(250)), "e3": ("failure", 0, None, None), "e4": ("failure", 0, 1000, None)}
+
+
 PAGE = """<html><body><form><input type="hidden" name="__VIEWSTATE" value="a&amp;b"/><select><option value="ALH,3,03/02/2026">(Alhambra Courthouse:  Dept. 3) March 2, 2026</option>
 <option value="bad">x</option><option value="BH,205,99/99/2026">(Beverly Hills: Dept. 205) ?</option></select></form><a href="/a.pdf">One&nbsp; <b>file</b></a><a class="x" href="/a.pdf">again</a>
 <a href="b.html">b</a><script>no</script><div id="speechSynthesis">The motion<div>is <b>GRANTED</b></div></div><p>after</p></body></html>"""
