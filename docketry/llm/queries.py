@@ -15,14 +15,19 @@ from docketry.llm.embeddings import near_vectors
 from docketry.llm.lines import repeated_lines
 from docketry.llm.mixing import mixing_plan
 from docketry.llm.oracles import EMBEDDINGS_SQL, quality_sql, substring_sql
+from docketry.llm.pieces import encode_pieces
 from docketry.llm.quality import score_quality
+from docketry.llm.resampling import resample
+from docketry.llm.resampling_sql import resampling_sql
 from docketry.llm.sharding import shard_uniformly
 from docketry.llm.simhash import simhash_components
 from docketry.llm.substring import dedup_substrings
 from docketry.llm.tokens import token_digest, write_tokens
 from docketry.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from docketry.llm.whitening import whiten
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +87,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken, "source", "copies", "shards")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with begin and end, decoded text, and the bytes that pieces' spans cover; null texts are empty."""
+    docs = read_table(spark, sf_dir, "documents")
+    return encode_pieces(docs, PIECES, ("n_tokens", "ids_sha256", "decoded_sha256", "covered", "spans_crc32"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four leading components; rows without a finite vector are left out, deviations beyond a long are null."""
+    out = whiten(read_table(spark, sf_dir, "embeddings"), components=4)
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five in a hundred of the documents with twenty words, drawn towards the benchmark's texts."""
+    drawn = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=5)
+    return drawn.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -93,10 +116,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_whitening": op12_whitening,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": substring_sql(),
     "op4_quality_rules": quality_sql(),
     "op6_embedding_near_dedup": EMBEDDINGS_SQL,
+    "op13_resampling": resampling_sql(),
 }
