@@ -122,25 +122,26 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hearing_date": F.when(F.col("o_orderpriority") != "1-URGENT", day), "capture_timestamp": F.concat(day, F.lit("T08:00:00")), "outcome": F.when(F.col("o_orderpriority") == "5-LOW", "moot"),
         "judge_name": F.concat(F.lit("LEE, ANN "), F.upper(F.substring("o_orderstatus", 1, 1))),
     }
-    return o.select("o_orderdate", F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("value"))
+    return o.select("o_orderdate", F.col("o_orderkey").alias("arrived"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("value"))
 
 
 _LOADED = (
     "e AS (SELECT 'd' || o_orderkey AS doc, 'ca-county-' || (o_custkey % 7) AS court_code, 'Court ' || o_orderstatus || ', County of County ' || (o_custkey % 7) AS court_name, 'N-' || o_custkey AS case_number, o_orderpriority AS p, o_orderstatus AS s, "
-    "CASE WHEN o_orderstatus = 'O' THEN 'Case ' || o_orderkey END AS title, strftime(o_orderdate, '%Y-%m-%dT08:00:00') AS at, "
-    "concat_ws('|', strftime(o_orderdate, '%Y-%m-%dT08:00:00'), 'd' || o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'moot' END, CASE WHEN o_orderstatus = 'O' THEN 'Case ' || o_orderkey END) AS seq FROM orders)"
+    "CASE WHEN o_orderstatus = 'O' THEN 'Case ' || o_orderkey END AS title, (o_orderdate < TIMESTAMP '1995-01-01', o_orderkey) AS seq FROM orders)"
 )
 
 
 def _loaded(spark: SparkSession, sf_dir: str) -> str:
-    """Tables that the loader has written from two batches, and from one that died before its manifest."""
+    """Tables that the loader has written from two batches, the first of them compacted, and from one that died before its
+    manifest.  Orders arrive by their keys within a batch; the later half of the dates comes first."""
     base, rows = scratch_folder(spark, "loaded"), _events(spark, sf_dir)
     load.create_tables(spark, base)
     late = F.col("o_orderdate") >= "1995-01-01"
-    for batch, part in ((0, rows.where(late)), (1, rows.where(~late))):
-        load.load_batch(part.select("value"), batch, base)
-    lost = spark.createDataFrame([("x", "x", "CA", "x", "Lost court", "", "~")], "court_id string, court_code string, state string, county string, court_name string, timezone string, seq string")
-    lost.write.mode("overwrite").parquet(f"{base}/courts/bid=2")
+    load.load_batch(rows.where(late).select("value", "arrived"), 0, base)
+    load.compact(spark, base)
+    load.load_batch(rows.where(~late).select("value", "arrived"), 1, base)
+    lost = rows.select(F.replace("value", F.lit("Court "), F.lit("Lost ")).alias("value"), "arrived")
+    load.derive(load.split_events(lost, batch=2)[0]).write.mode("overwrite").parquet(f"{base}/events/bid=2")
     return base
 
 
