@@ -9,6 +9,7 @@ from docketry.functions import courts
 from docketry.operators import analytics, merge, paging, relations, search
 from docketry.plans import entities as _entities  # noqa: F401  (registers its queries)
 from docketry.plans import staging as _staging_queries  # noqa: F401
+from docketry.plans import text_search as _text_search  # noqa: F401
 from docketry.plans.api import Store
 from docketry.plans.queries import _RATE, _TOKENS, ORACLE_SQL, QUERIES, TODAY, _index, query
 from docketry.plans.sql import over
