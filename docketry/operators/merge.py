@@ -6,9 +6,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketry.operators.ordering import number_in_groups
+
 
 def last_values(batch: DataFrame, key: list[str], overwrite: list[str] = (), fill: list[str] = (), first: list[str] = ()) -> DataFrame:
     """One row a key: the last of ``overwrite`` columns, the last non-null of ``fill``, the first of ``first``."""
@@ -102,8 +103,10 @@ def delete_keys(target: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame
 
 
 def content_versions(documents: DataFrame, key: list[str]) -> DataFrame:
-    """Documents in order of capture with the version they replace; equal content is no new version."""
-    order = W.partitionBy(*key).orderBy("captured_at", "document_id")
-    out = documents.withColumn("__before", F.lag("content_hash").over(order))
-    out = out.where(F.col("__before").isNull() | (F.col("__before") != F.col("content_hash"))).drop("__before")
-    return out.withColumn("version", F.row_number().over(order)).withColumn("previous_version_id", F.lag("document_id").over(order))
+    """Documents in order of capture with the version they replace; equal content is no new version.
+
+    A key with many captures is many tasks."""
+    order = [F.col("captured_at"), F.col("document_id")]
+    out = number_in_groups(documents, key, order, "__no", carry=["content_hash"])
+    out = out.where((F.col("__no") == 1) | (F.col("previous_content_hash") != F.col("content_hash"))).select(*documents.columns)
+    return number_in_groups(out, key, order, "version", carry=["document_id"]).withColumnRenamed("previous_document_id", "previous_version_id").withColumn("version", F.col("version").cast("int"))

@@ -7,9 +7,10 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketry.operators.ordering import number_in_groups
+
 # fixed values: page sizes
 DEFAULT_PAGE, LARGEST_PAGE = 20, 100
 
@@ -96,6 +97,6 @@ def page(df: DataFrame, keys: list[str], descending: bool, first: int | None = N
 
 
 def all_pages(df: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
-    """Each row's page number within its group, for all pages at once."""
-    number = F.row_number().over(W.partitionBy(*group).orderBy(*order))
-    return df.withColumn("page_no", F.ceil(number / F.lit(size)).cast("int"))
+    """Each row's page number within its group, for all pages at once; a large group is many tasks."""
+    numbered = number_in_groups(df, group, order, "page_no")
+    return numbered.withColumn("page_no", F.ceil(F.col("page_no") / F.lit(size)).cast("int"))
