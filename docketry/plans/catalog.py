@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import courts
 from docketry.operators import analytics, merge, paging, relations, search
+from docketry.plans import alerts as _alerts  # noqa: F401
 from docketry.plans import entities as _entities  # noqa: F401  (registers its queries)
 from docketry.plans import staging as _staging_queries  # noqa: F401
 from docketry.plans import text_search as _text_search  # noqa: F401
