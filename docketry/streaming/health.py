@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # fixed values: attempts allowed, and the length of a window
 ALLOWED, WINDOW_SECONDS = 10, 900
+EPOCH = datetime(1970, 1, 1)
 
 
 def daily_successes(health: DataFrame, late: str = "1 day") -> DataFrame:
@@ -65,11 +66,17 @@ def number_attempts(attempts: DataFrame, key: str, at: str, order: str, seconds:
     return attempts.repartition(key).sortWithinPartitions(key, at, order).mapInPandas(run, schema)
 
 
-def limit_stream(attempts: DataFrame, key: str, at: str, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED) -> DataFrame:
-    """A11 on a stream: ``key, window_start, attempts, ok`` each time a key's window changes; state is one row a key."""
+def limit_stream(attempts: DataFrame, key: str, at: str, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED, late: str = "1 minute") -> DataFrame:
+    """A11 on a stream: ``key, window_start, attempts, ok`` each time a key's window changes.
+
+    State is one row a key and goes when the watermark, ``late`` behind the last attempt seen, passes the window's end;
+    the next attempt then opens a window of its own, as it would have anyway."""
     span = timedelta(seconds=seconds)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, n = state.get if state.exists else (None, 0)
         out = []
         for t in sorted(x for b in batches for x in b[at]):
@@ -78,8 +85,12 @@ def limit_stream(attempts: DataFrame, key: str, at: str, seconds: int = WINDOW_S
             n += 1
             out.append((*k, start, n, n <= allowed))
         state.update((start, n))
+        # a window that the watermark has passed already goes with the next batch
+        end = int(((start + span) - EPOCH).total_seconds() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "window_start", "attempts", "ok"])
 
     kind = {f.name: f.dataType.simpleString() for f in attempts.schema}
     schema = f"`{key}` {kind[key]}, window_start {kind[at]}, attempts int, ok boolean"
-    return attempts.groupBy(key).applyInPandasWithState(run, schema, f"start {kind[at]}, n int", "append", GroupStateTimeout.NoTimeout)
+    keyed = attempts.withWatermark(at, late).groupBy(key)
+    return keyed.applyInPandasWithState(run, schema, f"start {kind[at]}, n int", "append", GroupStateTimeout.EventTimeTimeout)
