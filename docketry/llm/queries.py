@@ -31,28 +31,33 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row; null and empty texts have no lines, and short lines match by equality alone."""
     docs = read_table(spark, sf_dir, "documents")
     found = repeated_lines(docs).withColumn("n_removed", F.size("removed").cast("long"))
     return found.select("doc_id", "n_lines", "n_removed", F.col("removed.line_no").alias("removed_lines"), "removed.of_doc", "removed.of_line")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row; null and empty texts have fingerprint zero, which links like any other."""
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row; null and short texts lose nothing, the smallest doc_id keeps a passage."""
     kept = dedup_substrings(read_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row; null and empty texts have no words and fail."""
     scored = score_quality(read_table(spark, sf_dir, "documents"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return scored.select("doc_id", *names)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row, by law ``rows``; null texts have size 8; repeated ids are dealt apart."""
     docs = read_table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     sized = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -61,20 +66,24 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row; vectors that can't be compared link with nothing."""
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row, from the written files; null texts are empty and have the end id alone."""
     path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(read_table(spark, sf_dir, "documents"), TOKENIZER, path)
     return token_digest(spark, path)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row; null and empty texts have no ids."""
     return encode_decode(read_table(spark, sf_dir, "documents"), TOKENIZER, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row; null and empty texts are scored by what the model says of no evidence."""
     docs = read_table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
@@ -82,6 +91,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row; null texts have size 0, null sources are a source of their own, the last."""
     plan = mixing_plan(read_table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return plan.select("doc_id", "size", "source_size", "target", taken, "source", "copies", "shards")
