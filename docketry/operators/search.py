@@ -15,12 +15,12 @@ from pyspark.sql.types import StringType
 
 from docketry.functions.stem import STOP_WORDS, query_words, stem, stem_term, words_of
 from docketry.operators.paging import Page, date_range, decode_cursor, equal_filters, keyset, page_size
+from docketry.session import last_put, put_once
 
 # fixed values: parameters of the ranking, and the length of an excerpt
 K1, B, FRAGMENT = 1.2, 0.75, 200
 #: Partitions of stored postings by term, so that a query reads only its terms'.
 TERM_BUCKETS = 64
-_ALIAS = "n long, folder string"
 
 
 @dataclass
@@ -77,24 +77,24 @@ def refresh_index(index: SearchIndex, docs: DataFrame, text: str = "ruling_text"
 def publish_index(index: SearchIndex, root: str) -> str:
     """Write ``index`` as a new version under ``root`` and point the alias at it; returns the version's folder.
 
-    The alias is one appended row, written when the version is whole: readers meet the old version or the new one.
-    Older versions stay for readers that have them open.
+    The alias is the last of numbered files, each put in place once the version is whole: readers meet the old version
+    or the new one, and of two that publish at once the one that comes second has the next number.  Older versions
+    stay for readers that have them open.
     """
     spark, folder = index.docs.sparkSession, f"{root}/versions/{uuid.uuid4().hex}"
     index.write(folder)
-    spark.createDataFrame([], _ALIAS).coalesce(1).write.mode("ignore").parquet(f"{root}/alias")
-    last = spark.read.schema(_ALIAS).parquet(f"{root}/alias").agg(F.max("n")).first()[0]
-    spark.createDataFrame([((last or 0) + 1, folder)], _ALIAS).coalesce(1).write.mode("append").parquet(f"{root}/alias")
-    return folder
+    while True:
+        last = last_put(spark, f"{root}/alias")
+        if put_once(spark, f"{root}/alias/{int(last[0]) + 1 if last else 1:012d}", folder):
+            return folder
 
 
 def published_index(spark: SparkSession, root: str, stemmed: bool = True) -> SearchIndex:
-    """The index that the alias under ``root`` points at; of two published at once, the later folder by name."""
-    alias = spark.read.schema(_ALIAS).parquet(f"{root}/alias")
-    folder = alias.agg(F.max(F.struct("n", "folder")).alias("last")).first().last
-    if folder is None:
+    """The index that the alias under ``root`` points at."""
+    last = last_put(spark, f"{root}/alias")
+    if last is None:
         raise ValueError(f"no index is published under {root}")
-    return SearchIndex.read(spark, folder.folder, stemmed)
+    return SearchIndex.read(spark, last[1], stemmed)
 
 
 def analyze_query(index: SearchIndex, query: str) -> list[str]:

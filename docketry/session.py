@@ -37,3 +37,34 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_folder(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in place, whole, unless there is one already; says whether it did.  Of several writers one does."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target.getParent())
+    part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{uuid.uuid4().hex}")
+    out = fs.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    no_options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(part, target, no_options)
+    except Exception as e:
+        fs.delete(part, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def last_put(spark: SparkSession, folder: str) -> tuple[str, str] | None:
+    """Name and text of the last file by name that :func:`put_once` put into a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    last = max((n for n in names if not n.startswith(("_", "."))), default=None)
+    return (last, spark.read.text(f"{folder}/{last}", wholetext=True).first().value) if last else None

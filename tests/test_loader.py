@@ -72,13 +72,13 @@ def put(spark, base, batch, events):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_any_split_into_batches(spark, tmp_path, seed):
     rng = random.Random(seed)
-    events, base, at, batch = made(rng, 18), str(tmp_path / "t"), 0, 0
+    events, base, at, batch = made(rng, 14), str(tmp_path / "t"), 0, 0
     load.create_tables(spark, base)
     if seed == 3:
         court = spark.sql("select sha2('ca-kern', 256) as court_id, 'Ann Lee' as raw_name, 'known' as judge_id, 'people' as source, 1.0D as confidence, true as is_verified")
         load.add_aliases(spark, base, court)
     while at < len(events):
-        n = rng.randrange(1, 14)
+        n = rng.randrange(2, 9)
         put(spark, base, batch, events[at : at + n])
         if rng.random() < 0.3:
             put(spark, base, batch, events[at : at + n])  # a replay

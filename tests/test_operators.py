@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docketry import session
 from docketry.operators import analytics, merge, paging, relations, search
 from docketry.sources import files
 from docketry.streaming import health, load
@@ -131,6 +132,10 @@ def test_publish_index(spark, tmp_path):
     folder = search.publish_index(search.refresh_index(old, spark.createDataFrame([("b", "2", "beta")], schema)), root)
     assert {r.term for r in search.published_index(spark, root, stemmed=False).terms.collect()} == {"alpha", "beta"}
     assert {r.term for r in old.terms.collect()} == {"alpha"} and folder.startswith(f"{root}/versions/")
+    # a publisher that read the same last number comes after, whatever its folder is called
+    assert not session.put_once(spark, f"{root}/alias/{2:012d}", "elsewhere") and session.last_put(spark, f"{root}/alias") == (f"{2:012d}", folder)
+    with pytest.raises(ValueError):
+        search.published_index(spark, str(tmp_path / "none"))
 
 
 def test_run_table(spark, tmp_path):
