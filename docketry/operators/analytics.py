@@ -90,3 +90,17 @@ def run_health(events: DataFrame) -> DataFrame:
     return events.groupBy("scraper_id").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if("success").alias("successes"), captured.alias("records"), F.avg("response_time_seconds").alias("seconds"), F.max("run_timestamp").alias("last_run")
     )
+
+
+def weekday_anomalies(days: DataFrame, before: int = 4, deviations: float = 2.0, least: float = 1.0) -> DataFrame:
+    """``source, day, n`` (a row a source and day, days without captures too) with the ``mean`` and ``dev`` of the
+    same weekday in the ``before`` weeks that came first, and ``anomaly``: ``drop``, ``spike`` or null.
+
+    Courts publish by weekday, so a Monday is held against Mondays; ``dev`` is at least ``least``, so that a steady
+    source isn't odd for one capture more.  Days without a week before them are neither.
+    """
+    same = W.partitionBy("source", F.weekday("day")).orderBy("day").rowsBetween(-before, -1)
+    out = days.withColumn("mean", F.avg("n").over(same)).withColumn("dev", F.greatest(F.coalesce(F.stddev_samp("n").over(same), F.lit(0.0)), F.lit(least)))
+    off = F.col("n") - F.col("mean")
+    kind = F.when(off > deviations * F.col("dev"), "spike").when(off < -deviations * F.col("dev"), "drop")
+    return out.withColumn("anomaly", kind)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.operators import alerts, changes
+from docketry.operators import alerts, analytics, changes
 from docketry.plans.queries import query
 from docketry.plans.sql import over
 from docketry.session import read_table, scratch_folder
@@ -67,3 +67,19 @@ def text_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, text = F.col("doc_id") % 4, F.col("text")
     new = F.when(n == 0, F.concat(F.replace(text, F.lit(" "), F.lit("  ")), F.lit("--"))).when(n == 1, F.replace(text, F.lit("people"), F.lit("peeople"))).when(n == 2, F.concat(text, F.lit(". Order 17 amended"))).otherwise(text)
     return read_table(spark, sf_dir, "documents").select("doc_id", changes.change(text, new)["kind"].alias("change"))
+
+
+@query(
+    "WITH c AS (SELECT CAST(unnest(generate_series(MIN(CAST(ts AS DATE)), MAX(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS DATE) AS day FROM events), s AS (SELECT DISTINCT user_id % 5 AS source FROM events), "
+    "n AS (SELECT user_id % 5 AS source, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1, 2), d AS (SELECT source, day, coalesce(n, 0) AS n FROM s CROSS JOIN c LEFT JOIN n USING (source, day)), "
+    "m AS (SELECT *, AVG(n) OVER w AS mean, greatest(coalesce(stddev_samp(n) OVER w, 0), 1.0::DOUBLE) AS dev FROM d WINDOW w AS (PARTITION BY source, isodow(day) ORDER BY day ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) "
+    "SELECT source, day, n, round(mean, 6) AS mean, CASE WHEN n - mean > 2 * dev THEN 'spike' WHEN n - mean < -2 * dev THEN 'drop' END AS anomaly FROM m"
+)
+def weekday_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's days against the same weekday of four weeks before, days without events too."""
+    events = read_table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("source"), F.col("ts").cast("date").alias("day"))
+    span = events.agg(F.min("day").alias("a"), F.max("day").alias("b"))  # one row
+    calendar = events.select("source").distinct().join(F.broadcast(span)).select("source", F.explode(F.sequence("a", "b")).alias("day"))
+    days = calendar.join(events.groupBy("source", "day").agg(F.count(F.lit(1)).alias("n")), ["source", "day"], "left").select("source", "day", F.coalesce("n", F.lit(0)).alias("n"))
+    found = analytics.weekday_anomalies(days)
+    return found.select("source", "day", "n", F.round("mean", 6).alias("mean"), "anomaly")

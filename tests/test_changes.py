@@ -26,3 +26,15 @@ def test_versions(spark):
     df = spark.createDataFrame(rows, "document_id int, source string, captured_at int, content_hash string, text string")
     got = {r.document_id: (r.version, r.previous_version_id, r.change, round(r.changed_share, 3)) for r in changes.version_changes(df, ["source"]).collect()}
     assert got == {1: (1, None, "first", 1.0), 3: (2, 1, "formatting", 0.0), 4: (3, 3, "substantive", 0.6), 5: (1, None, "first", 1.0)}
+
+
+def test_weekday_anomalies(spark):
+    import datetime
+
+    from docketry.operators import analytics
+
+    day = lambda n: datetime.date(2026, 1, 5) + datetime.timedelta(days=n)
+    # ten on Mondays, none else; then a Monday without, a Tuesday with
+    rows = [("s", day(n), 10 if n % 7 == 0 else 0) for n in range(28)] + [("s", day(28), 0), ("s", day(29), 5), ("s", day(30), 1)]
+    got = {r.day: r.anomaly for r in analytics.weekday_anomalies(spark.createDataFrame(rows, "source string, day date, n int")).collect()}
+    assert {d: a for d, a in got.items() if a} == {day(28): "drop", day(29): "spike"}
