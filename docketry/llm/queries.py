@@ -83,11 +83,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each row; null and empty texts are scored by what the model says of no evidence."""
+    """A row for each row; null and empty texts are scored by what the model says of no evidence, null ids aren't held out."""
     docs = read_table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
     predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted, "evidence")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", predicted, "evidence")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from math import log
 
@@ -42,6 +42,8 @@ LOOK_ALIKES = {
 _SENTENCE_MARKS = ".,;:?\"'()[]«»“”‘’…"
 _EDGE_MARKS = _SENTENCE_MARKS + "!#$%&*+-/<=>@\\^_`{|}~0123456789"
 _TWICE = re.compile(r"(.)\1")
+#: Plain letters up to the first that is repeated.
+_PLAIN = re.compile(r"(?:([a-z])(?!\1))*[a-z]?")
 #: Characters of a fragment of a word at most, and fragments that are joined at most.
 FRAGMENT, FRAGMENTS = 3, 8
 _CACHE_WORDS = 400_000
@@ -164,33 +166,77 @@ def odd_token(core: str) -> bool:
     return _TWICE.search(core.lower()) is not None or not core.isascii() and any(c in LOOK_ALIKES for c in core.lower())
 
 
-def spaced_runs(words: list[str], least: int = 3) -> Iterator[str]:
-    """Runs of words of one character, joined; sentence marks around the character don't count."""
+def short_of(word: str) -> str:
+    """A word of up to ``FRAGMENT`` characters between sentence marks, without them; "" for a longer one."""
+    bare = word if len(word) == 1 else word.strip(_SENTENCE_MARKS)
+    return bare if len(bare) <= FRAGMENT else ""
+
+
+class Lookup(dict):
+    """A function's results, kept for as many arguments as a worker may hold."""
+
+    def __init__(self, work: Callable[[str], object]) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, key: str) -> object:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        found = self[key] = self.work(key)
+        return found
+
+
+def spaced_runs(shorts: list[str], least: int = 3) -> Iterator[str]:
+    """Runs of words of one character, joined; sentence marks around the character don't count (:func:`short_of`)."""
+    if sum(len(s) == 1 for s in shorts) < least:
+        return
     run: list[str] = []
-    for w in [*words, ""]:
-        bare = w if len(w) == 1 else w.strip(_SENTENCE_MARKS) if len(w) < 8 else ""
-        if len(bare) == 1:
-            run.append(bare)
+    for s in [*shorts, ""]:
+        if len(s) == 1:
+            run.append(s)
         else:
             if len(run) >= least:
                 yield "".join(run)
             run = []
 
 
-def joined_fragments(words: list[str]) -> set[str]:
-    """Neighbouring words of up to ``FRAGMENT`` characters, not each of one, joined: from each on, up to ``FRAGMENTS``."""
+class Beginnings:
+    """Which starts of a joined string leave room for a word of some features.
+
+    Plain letters stand for themselves, but for the second of two equal ones; so every reading of a string begins with
+    its plain letters up to the first other character or repeated letter.  If no word of the features begins so
+    (or is a beginning of it, for features that are beginnings), no reading has any of them.
+    """
+
+    def __init__(self, features: Iterable[str]) -> None:
+        self.starts = {f[1:n] for f in features for n in range(1, len(f) + 1)}
+        self.heads = {f[1:] for f in features if f[0] == "^"}
+        self.open = Lookup(self.leaves_room)
+
+    def leaves_room(self, joined: str) -> bool:
+        sure = _PLAIN.match(joined.lower())[0]
+        return not sure or sure in self.starts or any(sure[:n] in self.heads for n in range(4, min(8, len(sure)) + 1))
+
+
+def joined_fragments(shorts: list[str], known: Beginnings | None = None) -> set[str]:
+    """Neighbouring words of up to ``FRAGMENT`` characters, not each of one, joined: from each on, up to ``FRAGMENTS``.
+
+    With ``known``, strings that can't read as one of its features are left out, most of them at their first fragment.
+    """
     out: set[str] = set()
-    run: list[str] = []
-    for w in [*words, ""]:
-        bare = w.strip(_SENTENCE_MARKS) if len(w) < 8 else ""
-        if 0 < len(bare) <= FRAGMENT:
-            run.append(bare)
-            for n in range(2, min(len(run), FRAGMENTS) + 1):
-                joined = "".join(run[-n:])
-                if n < len(joined) and len(joined) >= 4:
-                    out.add(joined)
-        else:
-            run = []
+    room = known.open if known else None
+    for i, (first, second) in enumerate(zip(shorts, shorts[1:])):
+        if not (first and second) or room is not None and not room[first]:
+            continue
+        joined = ""
+        for n, s in enumerate(shorts[i : i + FRAGMENTS], 1):
+            if not s or s in _SENTENCE_MARKS:
+                break
+            joined += s
+            if n > 1 and room is not None and not room[joined]:
+                break
+            if 1 < n < len(joined) and len(joined) >= 4:
+                out.add(joined)
     return out
 
 
@@ -209,53 +255,55 @@ class ToxicityModel:
 
 
 class Scorer:
-    """Looks words up, restores the odd ones, and keeps what it has found."""
+    """Looks words up, restores the odd ones, and keeps what it has found.
 
-    def __init__(self, model: ToxicityModel) -> None:
-        self.model, self.restorer = model, Restorer(model.counts)
-        self.kept: dict[str, tuple] = {}
+    ``wanted``: the features that count (all, if none are named).
+    """
+
+    def __init__(self, model: ToxicityModel, wanted: frozenset | None = None) -> None:
+        self.model, self.restorer, self.wanted = model, Restorer(model.counts), wanted
+        self.known = None if wanted is None else Beginnings(wanted)
+        self.longest = None if wanted is None else max(map(len, wanted), default=0)
+        self.short = Lookup(short_of)
+        self.kept = Lookup(self._of_word)
 
     def readings(self, token: str) -> list[str]:
         """What a token may mean: itself without marks at its ends, and what it is restored to."""
         plain, core = token.strip(_EDGE_MARKS).lower(), core_of(token)
         return [plain, *self.restorer.restore(core)] if odd_token(core) else [plain]
 
-    def features(self, text: str, wanted: frozenset | None = None) -> set[str]:
-        """The features of a text, or those among ``wanted``, which is the same in every call."""
+    def _of_word(self, token: str) -> tuple[str, ...]:
+        """The features of a token that count; most tokens leave no room for any and needn't be restored."""
+        if self.known and not (self.known.leaves_room(token) and self.known.leaves_room(core_of(token))):
+            return ()
+        return self._kept(f for r in self.readings(token) for f in word_features(r))
+
+    def _kept(self, features: Iterator[str]) -> tuple[str, ...]:
+        return tuple(features if self.wanted is None else (f for f in features if f in self.wanted))
+
+    def _tails(self, run: str) -> Iterator[str]:
+        """Features of the words that a run of single characters may end in, from each character on.  The words
+        themselves are left out where they are longer than every feature."""
+        for r in self.restorer.restore(run):
+            for k in range(len(r)):
+                whole = self.longest is None or len(r) - k < self.longest
+                yield from word_features(r[k:]) if whole else ("^" + r[k : k + n] for n in range(4, 9) if k + n <= len(r))
+
+    def features(self, text: str) -> set[str]:
+        """The features of a text that count."""
         words, out, kept = text.split(), set(), self.kept
-        for w in {*words, *joined_fragments(words)}:
-            found = kept.get(w)
-            if found is None:
-                if len(kept) >= _CACHE_WORDS:
-                    kept.clear()
-                found = kept[w] = tuple(f for r in self.readings(w) for f in word_features(r) if wanted is None or f in wanted)
-            if found:
+        shorts = list(map(self.short.__getitem__, words))
+        for w in {*words, *joined_fragments(shorts, self.known)}:
+            if found := kept[w]:
                 out.update(found)
-        for run in spaced_runs(words):
-            some = (f for r in self.restorer.restore(run) for k in range(len(r)) for f in word_features(r[k:]))
-            out.update(f for f in some if wanted is None or f in wanted)
+        for run in spaced_runs(shorts):
+            out.update(self._kept(self._tails(run)))
         return out
 
-    def _best(self, features: Iterator[str]) -> tuple[float, str]:
-        weights = self.model.weights
-        return max(((weights[f], f) for f in features if f in weights), default=(0.0, ""))
-
     def score(self, text: str) -> tuple[float, str]:
         """The weight of the most telling feature, and that feature."""
-        words, best, kept = text.split(), (self.model.floor, ""), self.kept
-        for w in {*words, *joined_fragments(words)}:
-            found = kept.get(w)
-            if found is None:
-                if len(kept) >= _CACHE_WORDS:
-                    kept.clear()
-                found = kept[w] = self._best(f for r in self.readings(w) for f in word_features(r))
-            if found > best:
-                best = found
-        for run in spaced_runs(words):
-            found = self._best(f for r in self.restorer.restore(run) for k in range(len(r)) for f in word_features(r[k:]))
-            if found > best:
-                best = found
-        return best
+        weights = self.model.weights
+        return max(((weights[f], f) for f in self.features(text)), default=(self.model.floor, ""))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -293,11 +341,11 @@ def fit_toxicity(
 
     def count(toxic: int, wanted: frozenset | None = None) -> dict[str, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer, found = Scorer(bare), Counter()
+            scorer, found = Scorer(bare, wanted), Counter()
             for batch in batches:
                 for t in batch.column("text").to_pylist():
                     found[""] += 1
-                    found.update(scorer.features(t, wanted))
+                    found.update(scorer.features(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
 
         rows = sample.where(F.col("toxic") == toxic).select("text").mapInArrow(run, "feature string, n long")
@@ -313,10 +361,10 @@ def fit_toxicity(
     telling = frozenset(f for f, w in weights.items() if w >= least_weight)
 
     def carriers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(bare)
+        scorer = Scorer(bare, telling)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [pa.array([sorted(scorer.features(t, telling)) for t in texts], pa.list_(pa.string()))]
+            found = [pa.array([sorted(scorer.features(t)) for t in texts], pa.list_(pa.string()))]
             found.append(pa.array([text_signs(t) for t in texts], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(found, names=["found", "signs"])
 
@@ -377,7 +425,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     require(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(model, frozenset(model.weights))
         for batch in batches:
             for part in steps(batch, "text"):
                 found = [scorer.score(t or "") for t in part.column("text").to_pylist()]

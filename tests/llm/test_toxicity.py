@@ -79,3 +79,45 @@ def test_tokens_without_a_letter():
             counts[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
     scorer = toxicity.Scorer(toxicity.ToxicityModel(counts))
     assert all("ass" in scorer.readings(w) for w in ("@$$", "455", "@$$!", "4$5."))
+
+
+def test_tokens_without_room_have_no_features():
+    """Leaving out tokens and joined fragments by their beginnings loses nothing: random writings of words of the
+    features and of others have the same features with and without it."""
+    rng = np.random.default_rng(5)
+    words = ["vermin", "rotten", "rot", "verse", "bookish", "open", "in", "aab"]
+    counts = np.zeros(toxicity.SYMBOLS**3, dtype=np.int64)
+    for w in words * 20:
+        x = [0, 0, *(toxicity.LETTERS.index(c) + 1 for c in w), 0]
+        for a, b, c in zip(x, x[1:], x[2:]):
+            counts[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] += 1
+    model = toxicity.ToxicityModel(counts)
+    wanted = frozenset({"=vermin", "^verm", "=rotten", "^rotte", "=aab", "=bookish", "=in"})
+    swaps = {"o": "0", "e": "3", "i": "1", "r": "rr", "t": "+", "v": "V", "s": "$", "b": "8"}
+    plain, sifted = toxicity.Scorer(model), toxicity.Scorer(model, wanted)
+    met = set()
+    for _ in range(400):
+        text = []
+        for w in rng.choice(words, 4):
+            letters = [swaps.get(c, c) if rng.random() < 0.25 else c for c in str(w)]
+            cuts = [c + (" " if rng.random() < (0.5 if w != "in" else 0.1) else "") for c in letters]
+            text.append(str(rng.choice(["", "(", "\"", "!"])) + "".join(cuts) + str(rng.choice(["", ".", "!!", ","])))
+        got = sifted.features(" ".join(text))
+        assert got == plain.features(" ".join(text)) & wanted
+        met |= got
+    assert met == wanted
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "rotten stone"), (1, "rotten stone"), (None, "river"), (None, None), (2, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = q.op9_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 5 and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+
+
+def test_marks_around_a_fragment_may_be_many(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.fit_toxicity(docs, labels)
+    table = spark.createDataFrame([(1, "((((((ve)))))) rm... in"), (2, "......v...... e r m i n")], "doc_id long, text string")
+    assert all(r.score >= 0.5 for r in toxicity.score_toxicity(table, model).collect())
