@@ -6,12 +6,18 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DataType, TimestampNTZType
+
+from docketry.operators.ordering import number_in_groups
+from docketry.session import stored
 
 # fixed values: attempts allowed, and the length of a window
 ALLOWED, WINDOW_SECONDS = 10, 900
+#: Attempts of a key from which on it is split over tasks.
+HOT_ATTEMPTS = 1_000_000
 EPOCH = datetime(1970, 1, 1)
 
 
@@ -42,12 +48,70 @@ def load_runs(batch: DataFrame, batch_id: int, base: str) -> None:
     run_rows(batch).write.mode("overwrite").parquet(f"{base}/bid={batch_id}")
 
 
-def number_attempts(attempts: DataFrame, key: str, at: str, order: str, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED) -> DataFrame:
+def number_attempts(
+    attempts: DataFrame, key: str, at: str, order: str, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED, hot: int = HOT_ATTEMPTS
+) -> DataFrame:
     """Each attempt with its window's start, its number in the window and whether it is allowed.
 
-    A window starts with a key's first attempt after the last window's end.  Keys are dealt to partitions and
-    their attempts stream through in order; no group is held as a whole.
+    A window starts with a key's first attempt after the last window's end.  Keys with fewer than ``hot`` attempts are
+    dealt to partitions, where their attempts stream through in order; the others are split over tasks
+    (:func:`split_attempts`), with the same result.  Attempts without a key or a time are in no window and are left out.
+    """
+    known = attempts.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    many = stored(known.groupBy(key).count().where(F.col("count") >= hot).select(key), "hot-keys")
+    if many.isEmpty():
+        return _stream_attempts(known, key, at, order, seconds, allowed)
+    few, heavy = known.join(many, key, "left_anti").select(attempts.columns), known.join(many, key, "left_semi").select(attempts.columns)
+    return _stream_attempts(few, key, at, order, seconds, allowed).unionByName(split_attempts(heavy, key, at, order, seconds, allowed))
+
+
+def window_starts(attempts: DataFrame, key: str, at: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """``key, window_start``: where each key's windows start, without a task that has a whole key.
+
+    A key's times are numbered; each points at the first time that is a window's length later.  That time's number
+    comes from numbering times and window ends together: of an end's place, what isn't ends before it are
+    times before it.  Pointers are then doubled, and what the first time reaches by them are the starts: as many
+    rounds as the logarithm of the most windows of a key, each written to the shared folder.
     """
+    times = stored(number_in_groups(attempts.select(key, at).distinct(), [key], [F.col(at)], "__rank"), "window-times")
+    end = F.col(at) + F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
+    both = times.select(key, F.col(at).alias("__t"), F.lit(True).alias("__time"), "__rank")
+    both = both.unionAll(times.select(key, end, F.lit(False), "__rank"))
+    # an end that is a time as well comes first: the window that starts there is the next one
+    placed = number_in_groups(both, [key], [F.col("__t"), F.col("__time")], "__place").where(~F.col("__time"))
+    jumps = stored(placed.select(key, F.col("__rank").alias("__from"), (F.col("__place") - F.col("__rank") + 1).alias("__to")), "window-jumps")
+    reached = times.where("__rank = 1").select(key, "__rank")
+    while not jumps.isEmpty():
+        further = reached.join(jumps.withColumnRenamed("__from", "__rank"), [key, "__rank"]).select(key, F.col("__to").alias("__rank"))
+        reached = stored(reached.unionAll(further).distinct(), "window-reached")
+        after = jumps.select(key, F.col("__from").alias("__to"), F.col("__to").alias("__then"))
+        jumps = stored(jumps.join(after, [key, "__to"]).select(key, "__from", F.col("__then").alias("__to")), "window-jumps")
+    return times.join(reached, [key, "__rank"]).select(key, F.col(at).alias("window_start"))
+
+
+def split_attempts(attempts: DataFrame, key: str, at: str, order: str, seconds: int = WINDOW_SECONDS, allowed: int = ALLOWED) -> DataFrame:
+    """:func:`number_attempts` for keys of any size: windows from :func:`window_starts`, numbers by sorted ranges.
+
+    Starts of a key are a window's length apart at least, so a stretch of that length has one at most, and an
+    attempt's window starts in its own stretch or the one before."""
+    starts = stored(window_starts(attempts, key, at, seconds).select(key, F.col("window_start"), _stretch("window_start", attempts.schema[at].dataType, seconds).alias("__stretch")), "window-starts")
+    own = starts.withColumnRenamed("window_start", "__own")
+    last = starts.select(key, F.col("window_start").alias("__last"), (F.col("__stretch") + 1).alias("__stretch"))
+    met = attempts.withColumn("__stretch", _stretch(at, attempts.schema[at].dataType, seconds)).join(own, [key, "__stretch"], "left").join(last, [key, "__stretch"], "left")
+    start = F.when(F.col("__own") <= F.col(at), F.col("__own")).otherwise(F.col("__last"))
+    met = met.select(*attempts.columns, start.alias("window_start"))
+    out = number_in_groups(met, [key, "window_start"], [F.col(at), F.col(order)], "attempt")
+    return out.withColumn("attempt", F.col("attempt").cast("int")).withColumn("ok", F.col("attempt") <= allowed)
+
+
+def _stretch(at: str, kind: DataType, seconds: int) -> Column:
+    """Which stretch of ``seconds`` a time falls into."""
+    epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'" if isinstance(kind, TimestampNTZType) else "TIMESTAMP'1970-01-01 00:00:00Z'"
+    return F.floor(F.expr(f"timestampdiff(MICROSECOND, {epoch}, `{at}`)") / (seconds * 1_000_000))
+
+
+def _stream_attempts(attempts: DataFrame, key: str, at: str, order: str, seconds: int, allowed: int) -> DataFrame:
+    """A key's attempts in one task, in order; no group is held as a whole."""
     span = timedelta(seconds=seconds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
