@@ -718,6 +718,19 @@ def fixed_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.number_attempts(rows, "user_id", "ts", "event_id", allowed=2).select("event_id", "user_id", "attempt", "ok")
 
 
+@query(
+    "WITH RECURSIVE w AS (SELECT event_type, MIN(ts) AS s FROM events GROUP BY event_type UNION ALL SELECT w.event_type, (SELECT MIN(e.ts) FROM events e WHERE e.event_type = w.event_type AND e.ts >= w.s + INTERVAL 1 DAY) "
+    "FROM w WHERE w.s IS NOT NULL), n AS (SELECT e.event_id, e.event_type, w.s, e.ts FROM events e ASOF JOIN (SELECT * FROM w WHERE s IS NOT NULL) w ON w.event_type = e.event_type AND w.s <= e.ts) "
+    "SELECT event_id, event_type, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS window_start, CAST(row_number() OVER o AS INTEGER) AS attempt, row_number() OVER o <= 100 AS ok FROM n WINDOW o AS (PARTITION BY event_type, s ORDER BY ts, event_id)"
+)
+def hot_window_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 for few keys of many attempts: each kind of event in windows of a day from the first, a hundred allowed; every
+    key is split over tasks."""
+    rows = read_table(spark, sf_dir, "events").where("event_type is not null and ts is not null").select("event_id", "event_type", "ts")
+    out = health.split_attempts(rows, "event_type", "ts", "event_id", seconds=86_400, allowed=100)
+    return out.select("event_id", "event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("window_start"), "attempt", "ok")
+
+
 # declared by the model and computed here
 
 
