@@ -104,3 +104,49 @@ def weekday_anomalies(days: DataFrame, before: int = 4, deviations: float = 2.0,
     off = F.col("n") - F.col("mean")
     kind = F.when(off > deviations * F.col("dev"), "spike").when(off < -deviations * F.col("dev"), "drop")
     return out.withColumn("anomaly", kind)
+
+
+def rate_trends(rulings: DataFrame, *by: str, months: int = 3, steps: int = 4, least: int = 30) -> DataFrame:
+    """Grant rates over time, a row for each group of ``by`` and period of ``months`` with a ruling in it.
+
+    ``span_rate`` covers the last ``steps`` periods by the calendar, and ``change`` is how far it is from the ``steps``
+    periods before those (null if nothing was decided then); ``provisional``: fewer than ``least`` decided motions.
+    Rulings are counted by group and period first, so a window holds a group's periods and not its rulings.
+    Rulings without a date are left out.
+    """
+    hit = lambda *values: F.count_if(F.col("outcome").isin(*values))
+    number = F.floor((F.year("hearing_date") * 12 + F.month("hearing_date") - 1) / months).alias("__period")
+    cells = rulings.where(F.col("hearing_date").isNotNull()).groupBy(*by, number).agg(
+        F.count(F.lit(1)).alias("rulings"), hit("granted").alias("granted"), hit("granted", "denied", *PARTLY).alias("decided")
+    )
+    ordered = W.partitionBy(*by).orderBy("__period")
+    span, earlier = ordered.rangeBetween(1 - steps, 0), ordered.rangeBetween(1 - 2 * steps, -steps)
+    rate = lambda w: F.try_divide(F.sum("granted").over(w).cast("double"), F.sum("decided").over(w).cast("double"))
+    out = cells.withColumns({"span_decided": F.sum("decided").over(span), "span_rate": rate(span), "__earlier": rate(earlier)})
+    first = F.col("__period") * months
+    period = F.make_date(F.floor(first / 12).cast("int"), (first % 12 + 1).cast("int"), F.lit(1)).alias("period")
+    return out.select(
+        *by, period, "rulings", "granted", "decided", "span_decided", "span_rate", (F.col("span_rate") - F.col("__earlier")).alias("change"),
+        (F.col("span_decided") < least).alias("provisional"),
+    )
+
+
+def counsel_stats(appearances: DataFrame, rulings: DataFrame, least: int = 30) -> DataFrame:
+    """Cases, rulings and grant rate of each attorney and, with a null ``counsel``, of each firm.
+
+    ``appearances (case_id, firm, counsel)``: a case counts once for an attorney however often it is listed, and once for
+    a firm however many of its attorneys appear.  Rulings are counted by case before they meet the appearances.
+    Attorneys without a firm are a firm of their own, null; appearances without a case or an attorney are left out.
+    """
+    hit = lambda *values: F.count_if(F.col("outcome").isin(*values))
+    by_case = rulings.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), hit("granted").alias("g"), hit("denied").alias("d"), hit(*PARTLY).alias("p"))
+    seen = appearances.where(F.col("case_id").isNotNull() & F.col("counsel").isNotNull()).select("case_id", "firm", "counsel").distinct()
+    firms = seen.select("case_id", "firm").distinct().withColumn("counsel", F.lit(None).cast(seen.schema["counsel"].dataType))
+    each = seen.withColumn("level", F.lit("counsel")).unionByName(firms.withColumn("level", F.lit("firm")))
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = each.join(by_case, "case_id", "left").groupBy("level", "firm", "counsel").agg(
+        F.count(F.lit(1)).alias("cases"), some("n").alias("rulings"), some("g").alias("granted"), some("d").alias("denied"), some("p").alias("granted_in_part")
+    )
+    decided = F.col("granted") + F.col("denied") + F.col("granted_in_part")
+    rate = grant_rate(F.col("granted"), F.col("denied"), F.col("granted_in_part"))
+    return out.withColumns({"grant_rate": rate, "provisional": decided < least})

@@ -778,3 +778,42 @@ def judge_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = analytics.motion_stats(domain.rulings(spark, sf_dir), "judge_id")
     place = F.rank().over(W.partitionBy("motion_type").orderBy(F.col("grant_rate").desc()))
     return stats.select("judge_id", "motion_type", "total", "grant_rate", (F.col("total") < 120).alias("provisional"), place.cast("long").alias("place"))
+
+
+@query(
+    over(
+        "rulings",
+        query="SELECT judge_id, strftime(q, '%Y-%m-%d') AS period, rulings, granted, decided, span_decided, round(span_rate, 9) AS span_rate, round(span_rate - earlier, 9) AS change, span_decided < 30 AS provisional FROM ("
+        "SELECT *, SUM(decided) OVER s AS span_decided, SUM(granted) OVER s / nullif(SUM(decided) OVER s, 0) AS span_rate, SUM(granted) OVER e / nullif(SUM(decided) OVER e, 0) AS earlier FROM ("
+        "SELECT judge_id, date_trunc('quarter', hearing_date) AS q, COUNT(*) AS rulings, COUNT(*) FILTER (WHERE outcome = 'granted') AS granted, COUNT(*) FILTER (WHERE outcome IS NOT NULL AND outcome <> 'moot') AS decided FROM rulings "
+        "WHERE hearing_date IS NOT NULL GROUP BY 1, 2) WINDOW s AS (PARTITION BY judge_id ORDER BY q RANGE BETWEEN INTERVAL 9 MONTH PRECEDING AND CURRENT ROW), "
+        "e AS (PARTITION BY judge_id ORDER BY q RANGE BETWEEN INTERVAL 21 MONTH PRECEDING AND INTERVAL 12 MONTH PRECEDING))",
+    )
+)
+def judge_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each judge's grant rate by quarter, over a year, and against the year before."""
+    out = analytics.rate_trends(domain.rulings(spark, sf_dir), "judge_id")
+    rounded = [F.round(c, 9).alias(c) for c in ("span_rate", "change")]
+    return out.select("judge_id", F.date_format("period", "yyyy-MM-dd").alias("period"), "rulings", "granted", "decided", "span_decided", *rounded, "provisional")
+
+
+_COUNSEL = (
+    "SELECT level, firm, counsel, COUNT(*) AS cases, SUM(n) AS rulings, SUM(g) AS granted, SUM(d) AS denied, SUM(p) AS granted_in_part FROM ("
+    "SELECT a.*, coalesce(n, 0) AS n, coalesce(g, 0) AS g, coalesce(d, 0) AS d, coalesce(p, 0) AS p FROM (SELECT 'counsel' AS level, case_id, firm, counsel FROM a UNION ALL SELECT DISTINCT 'firm', case_id, firm, NULL FROM a) a "
+    "LEFT JOIN (SELECT case_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE outcome = 'granted') AS g, COUNT(*) FILTER (WHERE outcome = 'denied') AS d, "
+    f"COUNT(*) FILTER (WHERE outcome IN ({_PARTLY})) AS p FROM rulings GROUP BY case_id) r ON r.case_id = a.case_id) GROUP BY ALL"
+)
+
+
+@query(
+    over(
+        "rulings", "cases", "parties", more="a AS (SELECT cases.id AS case_id, party_type AS firm, name AS counsel FROM cases JOIN parties ON parties.id = party_id)",
+        query=f"SELECT level, firm, counsel, cases, CAST(rulings AS BIGINT) AS rulings, CAST(granted AS BIGINT) AS granted, round({_RATE}, 9) AS grant_rate, granted + denied + granted_in_part < 30 AS provisional FROM ({_COUNSEL})",
+    )
+)
+def counsel_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attorneys and firms by cases, rulings and grant rate."""
+    parties = domain.parties(spark, sf_dir).select(F.col("id").alias("party_id"), F.col("party_type").alias("firm"), F.col("name").alias("counsel"))
+    appearances = domain.cases(spark, sf_dir).select(F.col("id").alias("case_id"), "party_id").join(parties, "party_id")
+    out = analytics.counsel_stats(appearances, domain.rulings(spark, sf_dir))
+    return out.select("level", "firm", "counsel", "cases", "rulings", "granted", F.round("grant_rate", 9).alias("grant_rate"), "provisional")
