@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions import classify, courts, display, keys, text, titles
+from docketry.functions import classify, courts, display, keys, replies, text, titles
 from docketry.operators import analytics, merge, paging, relations, search
 from docketry.plans.sql import first_match, over
 from docketry.session import read_table
@@ -817,3 +817,23 @@ def counsel_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     appearances = domain.cases(spark, sf_dir).select(F.col("id").alias("case_id"), "party_id").join(parties, "party_id")
     out = analytics.counsel_stats(appearances, domain.rulings(spark, sf_dir))
     return out.select("level", "firm", "counsel", "cases", "rulings", "granted", F.round("grant_rate", 9).alias("grant_rate"), "provisional")
+
+
+@query(
+    "WITH t AS (SELECT l_orderkey AS case_id, l_linenumber AS line, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'granted' WHEN 'AO' THEN 'denied' WHEN 'NF' THEN 'granted_in_part' "
+    "WHEN 'NO' THEN 'denied_in_part' WHEN 'RF' THEN 'moot' END AS o, CASE l_linenumber % 5 WHEN 1 THEN 'msj' WHEN 2 THEN 'demurrer' WHEN 3 THEN 'mtd' WHEN 4 THEN 'osc' ELSE 'other' END AS m, "
+    "CAST(l_quantity AS INTEGER) AS q FROM lineitem) "
+    "SELECT reason, coalesce(o, '') AS outcome, m AS motion_type, COUNT(*) AS n, COUNT(*) FILTER (WHERE reason IS NOT NULL OR q < 34) AS reviews FROM (SELECT *, CASE WHEN q % 11 = 3 THEN 'malformed_json' "
+    "WHEN o IS NULL THEN 'missing_key' WHEN m = 'osc' THEN 'bad_motion_type' WHEN q > 48 THEN 'bad_confidence' END AS reason FROM t) GROUP BY ALL"
+)
+def classifier_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies made of the lines of orders, counted by what is wrong with them and by what a person must look at."""
+    line = read_table(spark, sf_dir, "lineitem")
+    outcome = F.create_map(*[F.lit(x) for (a, b), v in domain.OUTCOME_OF.items() for x in (a + b, v)])[F.concat("l_returnflag", "l_linestatus")]
+    motion = F.element_at(F.array(*map(F.lit, ("other", "msj", "demurrer", "mtd", "osc"))), F.col("l_linenumber") % 5 + 1)
+    quantity = F.col("l_quantity").cast("int")
+    confidence = F.when(quantity > 48, quantity / 10.0).otherwise((quantity * 2 + 2) / 100.0)
+    told = F.to_json(F.struct(outcome.alias("outcome"), motion.alias("motion_type"), confidence.cast("double").alias("confidence")))
+    rows = line.select(F.lit("text").alias("ruling_text"), F.when(quantity % 11 == 3, F.concat(told, F.lit(" !"))).otherwise(told).alias("reply"), outcome.alias("o"), motion.alias("m"))
+    out = replies.read_replies(rows)
+    return out.groupBy("reason", F.coalesce("o", F.lit("")).alias("outcome"), F.col("m").alias("motion_type")).agg(F.count(F.lit(1)).alias("n"), F.count_if("needs_review").alias("reviews"))
