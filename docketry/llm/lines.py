@@ -3,7 +3,8 @@
 Distinct lines get 32 minima of hashed shingles.  The minima stand in a 4 by 8 grid; each of 16 of its lines
 (columns and one set of diagonals) is a band, so that two lines of similarity 0.8 share no band in 0.2% of cases
 (independent minima; 0.03% at 0.85).  In large buckets a finer level misses another 0.2%.  What shares
-a band is compared in full unless bitmaps prove it unlike, and a distributed union-find joins what is alike.
+a band is compared in full (beyond the hubs' pairs unless bitmaps prove it unlike), and a distributed union-find joins
+what is alike.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ MINIMA = 32
 FINER = [(96, 8, 56)]
 #: Ids of lines that are sent to all executors at most (8 MB); more are met by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Parts of the first level's bands, whose buckets are found one part after the other: a part's shuffle goes with its job.
+PARTS = 2
 #: Lines on each side of a block of comparisons, about.
 BLOCK_LINES = 256
 #: Shingles in one row while minima are taken.
@@ -128,26 +131,35 @@ def may_be_alike(x: str, y: str, similarity: float) -> Column:
     return (1 + similarity) * apart <= (1 - similarity) * (F.col(f"{x}most") + F.col(f"{y}most")) + 1e-6
 
 
-def alike(pairs: DataFrame, maps: DataFrame | None, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+def _close(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two sets have that Jaccard similarity: sets of n and m elements that share s have n + m - s together."""
+    return (1 + similarity) * F.size(F.array_intersect(x, y)) >= similarity * (F.size(x) + F.size(y)) - 1e-9
+
+
+def alike(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The ``pairs (a, b)`` of ids whose lines' shingle sets have that Jaccard similarity or more, as a written table.
 
-    Bitmaps, if given, tell most of the others apart; the shingle set of each line in what is left is worked out once.
+    For pairs where a line stands in many: the shingle set of each line is worked out once.
     """
-    left = pairs
-    if maps is not None:
-        both = pairs.join(maps.select(F.col("id").alias("a"), *map_columns("x")), "a").join(maps.select(F.col("id").alias("b"), *map_columns("y")), "b")
-        left = materialize(both.where(may_be_alike("x", "y", similarity)).select("a", "b"), "line-candidates")
-    lines = of_ids(texts, left.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-compared")
+    lines = of_ids(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-compared")
     sets = materialize(lines.select("id", F.array_distinct(_shingles("line", k)).alias("s")), "line-sets")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    # sets of n and m elements that share s have n + m - s elements together
-    shared = F.size(F.array_intersect("x", "y"))
-    out = materialize(both.where((1 + similarity) * shared >= similarity * (F.size("x") + F.size("y")) - 1e-9).select("a", "b"), "line-edges")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    out = materialize(both.where(_close(F.col("x"), F.col("y"), similarity)).select("a", "b"), "line-edges")
     for old in (lines, sets):
         discard(old)
     return out
 
 
+def alike_by_text(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """As :func:`alike`, for pairs where most lines stand in one or two: the lines meet, and both shingle sets, which take
+    several times their room, are worked out where they are compared."""
+    line = lambda of, name: texts.select(F.col("id").alias(of), F.col("line").alias(name))
+    both = pairs.join(line("a", "p"), "a").join(line("b", "q"), "b")
+    # as a lambda's variable the sets are worked out once, not wherever they are named
+    sets = F.array(F.struct(F.array_distinct(_shingles("p", k)).alias("x"), F.array_distinct(_shingles("q", k)).alias("y")))
+    return materialize(both.where(F.transform(sets, lambda v: _close(v["x"], v["y"], similarity))[0]).select("a", "b"), "line-edges")
+
+
 def finer_bands(level: int) -> list[list[int]]:
     """Bands of a finer level over its own minima, each of which stands in about as many; the same each time."""
     count, size, wanted = FINER[level]
@@ -160,12 +172,26 @@ def finer_bands(level: int) -> list[list[int]]:
     return bands
 
 
-def banded(signed: DataFrame, bands: list[list[int]], *also: str) -> DataFrame:
-    """``id, key``: the keys of each line's bands, beside what is ``also`` wanted."""
-    keys = [F.xxhash64(F.lit(n), *[F.col("m")[p] for p in places]) for n, places in enumerate(bands)]
+def banded(signed: DataFrame, bands: list[tuple[int, list[int]]], *also: str) -> DataFrame:
+    """``id, key``: the keys of each line's numbered bands, beside what is ``also`` wanted."""
+    keys = [F.xxhash64(F.lit(n), *[F.col("m")[p] for p in places]) for n, places in bands]
     return signed.select("id", *also, F.explode(F.array(*keys)).alias("key"))
 
 
+def buckets(signed: DataFrame, bands: list[list[int]], parts: int = 1) -> list[DataFrame]:
+    """``key, id, label, n``: the lines of every bucket that holds two labels, and how many they are, as written tables,
+    one for each part of the bands.  Without a ``label`` each line is its own: then a bucket's size and its lines come from
+    one shuffle."""
+    label, also = ("label", ["label"]) if "label" in signed.columns else ("id", [])
+    found, numbered = [], list(enumerate(bands))
+    for part in range(parts):
+        rows = banded(signed, numbered[part::parts], *also).repartition("key")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min(label) < F.max(label)).alias("some")).where("some").drop("some")
+        members = rows.join(sizes.hint("shuffle_hash"), "key").select("key", "id", F.col(label).alias("label"), "n")
+        found.append(materialize(members, "line-buckets"))
+    return found
+
+
 def blocks(members: DataFrame, similarity: float, most: int = BLOCK_LINES) -> DataFrame:
     """``a, b``: in each bucket of ``members (key, id, label, n, unlike)``, with their bitmaps, every unlike line with
     every other of another label, if the bitmaps allow that they are alike.
@@ -194,34 +220,37 @@ def similar_lines(signed: DataFrame, kinds: DataFrame, k: int, similarity: float
     its class so far; lines with one label needn't be compared.  So no bucket is cut off, and copies of one line
     cost one comparison each.
     """
-    rows = banded(signed.withColumn("label", F.col("id")), BANDS, "label")
+    found = buckets(signed, BANDS, PARTS)
+    discard(signed)
     stars = done = pending = None
     for level in range(len(FINER) + 1):
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("label") < F.max("label")).alias("some")).where("some").drop("some")
-        members = materialize(rows.join(sizes.hint("shuffle_hash"), "key"), "line-buckets")
+        members = reduce(DataFrame.unionByName, found)
         ids = materialize(members.groupBy("id").agg(F.sum("n").alias("degree")), "line-ids")
         weight = F.least("degree", F.lit(1 << 42)) * (1 << 20) + F.xxhash64("id").bitwiseAND((1 << 20) - 1)
         hubs = members.join(ids, "id").groupBy("key").agg(F.max_by("id", weight).alias("hub"), F.max_by("label", weight).alias("hub_label"))
         texts = of_ids(kinds.select("id", "line"), ids.select("id"), "line-texts")
-        maps = materialize(bitmaps(texts, k), "line-maps")
         spokes = materialize(members.join(hubs, "key"), "line-spokes")
-        discard(members)
+        for old in found:
+            discard(old)
         tried = spokes.where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         tried = materialize(tried if done is None else tried.join(done, ["a", "b"], "left_anti"), "line-pairs")
         done = tried if done is None else done.unionByName(tried)
-        stars = joined(stars, pending, alike(tried, maps, texts, k, similarity))
+        stars = joined(stars, pending, alike_by_text(tried, texts, k, similarity))
         label = lambda of, name: stars.select(F.col("node").alias(of), F.col("root").alias(name))
         met = spokes.join(label("id", "root"), "id", "left").join(label("hub", "hub_root"), "hub", "left")
         met = met.select("key", "id", "n", F.coalesce("root", "id").alias("label"), F.coalesce("hub_root", "hub").alias("hub_label"))
         met = materialize(met.withColumn("unlike", F.col("label") != F.col("hub_label")), "line-met")
         last = level == len(FINER)
-        few = F.lit(True) if last else F.col("n") <= small
-        some = met.where(few).join(met.where(few & F.col("unlike")).select("key").distinct(), "key", "left_semi")
+        # the one pair of a bucket of two holds its hub, so it has been compared
+        few = (F.col("n") > 2) & (F.lit(True) if last else F.col("n") <= small)
+        some = materialize(met.where(few).join(met.where(few & F.col("unlike")).select("key").distinct(), "key", "left_semi"), "line-some")
+        near = of_ids(texts, some.select("id").distinct(), "line-near")
+        maps = materialize(bitmaps(near, k), "line-maps")
         pairs = materialize(blocks(some.join(maps, "id"), similarity).join(done, ["a", "b"], "left_anti"), "line-pairs")
         done = done.unionByName(pairs)
-        pending = alike(pairs, None, texts, k, similarity)  # the bitmaps have been compared
+        pending = alike(pairs, near, k, similarity)
         crowded = met.where((F.col("n") > small) & F.col("unlike")).select("key").distinct()
-        for old in (ids, spokes, texts, maps):
+        for old in (ids, spokes, texts, some, near, maps):
             discard(old)
         if last or crowded.isEmpty():
             return joined(stars, pending)
@@ -231,7 +260,7 @@ def similar_lines(signed: DataFrame, kinds: DataFrame, k: int, similarity: float
         discard(met)
         start, count = MINIMA + sum(n for n, _, _ in FINER[:level]), FINER[level][0]
         fresh = minima(of_ids(kinds.select("id", "line"), again.select("id"), "line-texts"), k, start, count)
-        rows = banded(again.join(materialize(fresh, "line-minima"), "id"), finer_bands(level), "label")
+        found = buckets(again.join(materialize(fresh, "line-minima"), "id"), finer_bands(level))
 
 
 def joined(stars: DataFrame | None, *more: DataFrame | None) -> DataFrame:
@@ -258,7 +287,7 @@ def line_classes(docs: DataFrame, k: int = 8, similarity: float = 0.8, small: in
     place, step = F.coalesce("first", "place"), F.lit(1 << 31).cast("decimal(10,0)")
     out = out.select("h1", "h2", F.floor(place / step).cast("long").alias("first_doc"), (place % step).cast("int").alias("first_line"))
     out = materialize(out, "line-classes")
-    for old in (kinds, signed, roots, first):
+    for old in (kinds, roots, first):
         discard(old)
     return out
 

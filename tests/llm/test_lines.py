@@ -196,3 +196,48 @@ def test_minima_over_neighbours_are_those_over_single_shingles(spark):
     order = [F.expr(f"hash({j}, 'order')") for j in range(5)]
     want = each.groupBy("id").agg(F.array(*[F.min(F.col("h").bitwiseXOR(o)) for o in order]).alias("m"))
     assert sorted(lines.minima(table, K, 0, 5).collect()) == sorted(want.collect())
+
+
+def test_no_written_table_outgrows_the_lines(spark, monkeypatch):
+    """Sets of shingles, eight bytes a character, once made up most of the disk that the query took."""
+    rng, written = random.Random(13), {}
+    rows = near_pairs(rng, 400, "", 600, 8)
+
+    def noted(df, label, *how):
+        out = materialize(df, label, *how)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(out._scratch_path)
+        written[label] = max(written.get(label, 0), files.agg(F.sum("length")).first()[0] or 0)
+        return out
+
+    materialize = lines.materialize
+    monkeypatch.setattr(lines, "materialize", noted)
+    assert recall(spark, rows) >= 0.99
+    assert written["line-edges"] and max(written.values()) < 1.5 * sum(map(len, rows)), written
+
+
+def test_lines_compared_by_text_and_by_sets(spark):
+    rng = random.Random(14)
+    texts = near_pairs(rng, 60, "", 150, 2) + ["ab" * 40, "ab" * 50, "short", ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    pairs = [(a, b) for a in range(len(texts) - 2) for b in range(a + 1, min(a + 4, len(texts) - 2))]
+    sets = [shingles(x) for x in texts]
+    want = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    assert sorted(map(tuple, lines.alike_by_text(pairs, table, K, 0.8).collect())) == want and len(want) >= 60
+    assert sorted(map(tuple, lines.alike(pairs, table, K, 0.8).collect())) == want
+
+
+def test_buckets_are_the_same_in_parts(spark):
+    rng = random.Random(15)
+    rows = [(i, [rng.randrange(3) for _ in range(8)], i % 2) for i in range(40)] + [(50, [7] * 8, 0), (51, [7] * 8, 0)]
+    signed, bands = spark.createDataFrame(rows, "id long, m array<int>, label long"), [[0, 1, 2], [3, 4, 5], [5, 6, 7]]
+    for by_id in (True, False):
+        want = []
+        for places in bands:
+            groups = {}
+            for i, m, label in rows:
+                groups.setdefault(tuple(m[p] for p in places), []).append((i, i if by_id else label, m))
+            want += [(i, label, len(g)) for g in groups.values() if len({x[1] for x in g}) > 1 for i, label, _ in g]
+        for parts in (1, 2):
+            found = lines.buckets(signed.drop("label") if by_id else signed, bands, parts)
+            assert len(found) == parts and sorted((r.id, r.label, r.n) for t in found for r in t.collect()) == sorted(want)
