@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution (operator 13): hashed word n-grams, counted by DuckDB in each partition.
 
-Every partition cuts its texts into words and n-grams with SQL (unnest, then windows), hashes them with zlib's CRC-32,
-and leaves each document's bucket counts as Parquet in the shared folder.  Spark sums these into the counts of
+Every partition cuts its texts into words and n-grams with SQL (lists unnested side by side), hashes distinct words with
+zlib's CRC-32, joins words' checksums to those of n-grams, and leaves each document's bucket counts as Parquet in the shared folder.  Spark sums these into the counts of
 the whole corpus and of the target, and a document's weight is the sum of its buckets' gains.
 """
 
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import STEP_BYTES, byte_texts, discard, materialize, require, steps
+from docketry.llm.common import STEP_BYTES, arrow_batches, byte_texts, discard, materialize, require, settings, steps
 from docketry.operators.ordering import number_all
 
 #: A word: a run of ASCII letters and digits and of everything beyond ASCII; as a RE2 pattern, and over UTF-8 bytes.
@@ -30,31 +30,88 @@ MEMORY = "400MB"
 
 def _ngram_sql(longest: int, buckets: int) -> str:
     """Counts by text and bucket of a step's n-grams; those that end in a text's first ``carried`` words belong to the
-    stretch before."""
-    grams, gram = ["word"], "word"
-    for k in range(1, longest):
-        gram = f"lag(word, {k}) OVER p || ' ' || {gram}"
-        grams.append(gram)
+    stretch before.
+
+    Lists of each word's checksum, that of a blank and the word, and its bytes are unnested side by side, shifted by a
+    word each, and an n-gram's checksum is its first words' joined with that of a blank and its last word."""
+    shifted = [f"unnest(words[{k + 1}:]) AS w{k}" for k in range(longest)]
+    grams = ["w0.alone"] + [f"join_crc(g{k - 1}, w{k}.behind, w{k}.size)" for k in range(1, longest)]
+    steps, source = [], "u"
+    for k, gram in enumerate(grams):
+        steps.append(f"u{k} AS (SELECT *, {gram} AS g{k} FROM {source})")
+        source = f"u{k}"
     return (
-        f"WITH t AS (SELECT place, carried, regexp_extract_all(text, '{WORD}') AS words FROM step), "
-        "w AS (SELECT place, carried, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t), "
-        f"g AS (SELECT place, i > carried AS own, [{', '.join(grams)}] AS grams FROM w WINDOW p AS (PARTITION BY place ORDER BY i)), "
-        f"f AS (SELECT place, unnest(grams) AS feature, unnest(range({longest})) AS k FROM g WHERE own) "
-        f"SELECT place, zlib_crc32(feature) % {buckets} AS bucket, COUNT(*) AS n, COUNT(*) FILTER (WHERE k = 0) AS words "
-        "FROM f WHERE feature IS NOT NULL GROUP BY ALL"
+        f"WITH t AS (SELECT place, carried, word_crcs(regexp_extract_all(text, '{WORD}')) AS words FROM step), "
+        f"u AS (SELECT place, carried, generate_subscripts(words, 1) AS i, {', '.join(shifted)} FROM t), "
+        f"{', '.join(steps)}, f AS (SELECT place, carried, i, unnest([{', '.join(f'g{k}' for k in range(longest))}]) AS feature, unnest(range({longest})) AS k FROM {source}) "
+        f"SELECT place, feature % {buckets} AS bucket, COUNT(*) AS n, COUNT(*) FILTER (WHERE k = 0) AS words "
+        "FROM f WHERE feature IS NOT NULL AND i + k > carried GROUP BY ALL"
     )
 
 
+def _shifts(table: np.ndarray) -> np.ndarray:
+    """Of a linear map of 32 bits, given by its four tables of a byte each, the map done twice."""
+    return _shifted(table, table.reshape(-1)).reshape(4, 256)
+
+
+def _shifted(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24]
+
+
+def _zero_bytes() -> list[np.ndarray]:
+    """What 1, 2, 4, ... 2^31 zero bytes behind a text do to its checksum without the inversions, as tables by byte."""
+    one = np.zeros((4, 256), np.uint32)
+    for at in range(4):
+        for c in range(256):
+            v = c << 8 * at
+            for _ in range(8):
+                v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+            one[at, c] = v
+    out = [one]
+    while len(out) < 32:
+        out.append(_shifts(out[-1]))
+    return out
+
+
+_ZEROS = _zero_bytes()
+
+
+def join_crc(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Checksums of texts that begin with a text of checksum ``first`` and go on with one of ``second`` and ``size`` bytes."""
+    out = first.astype(np.uint32)
+    for bit in range(int(size.max(initial=0)).bit_length()):
+        on = np.flatnonzero(size >> bit & 1)
+        out[on] = _shifted(_ZEROS[bit], out[on])
+    return out ^ second
+
+
 def _connect():
-    """A DuckDB in memory on one thread, without files, that knows zlib's CRC-32."""
+    """A DuckDB in memory on one thread, without files, that knows zlib's CRC-32 of words and of what they make up."""
     import duckdb
 
     con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
-
-    def crc(values: pa.ChunkedArray) -> pa.Array:
-        return pa.array([None if v is None else zlib.crc32(v) for v in values.cast(pa.binary()).to_pylist()], pa.uint32())
-
-    con.create_function("zlib_crc32", crc, ["VARCHAR"], "UINTEGER", type="arrow")
+    kind = pa.struct([("alone", pa.uint32()), ("behind", pa.uint32()), ("size", pa.uint32())])
+    blank = zlib.crc32(b" ")
+
+    def words(lists: pa.ChunkedArray) -> pa.Array:
+        chunk = lists.combine_chunks()
+        flat = chunk.flatten().cast(pa.binary())
+        size = np.asarray(pc.binary_length(flat)).astype(np.int64) + 1
+        each = flat.dictionary_encode()
+        alone = np.fromiter(map(zlib.crc32, each.dictionary.to_pylist()), np.uint32, len(each.dictionary))[np.asarray(each.indices)]
+        behind = join_crc(np.full(len(alone), blank, np.uint32), alone, size - 1)
+        rows = pa.StructArray.from_arrays([pa.array(v.astype(np.uint32)) for v in (alone, behind, size)], fields=list(kind))
+        offsets = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(chunk), 0))))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), rows)
+
+    def joined(first: pa.ChunkedArray, second: pa.ChunkedArray, size: pa.ChunkedArray) -> pa.Array:
+        # a row without a second part has no n-gram; its null stays
+        none = np.asarray(pc.or_(pc.is_null(first), pc.is_null(second)))
+        whole = lambda c: np.asarray(pc.fill_null(c, 0))
+        return pa.array(join_crc(whole(first), whole(second), whole(size).astype(np.int64)), mask=none)
+
+    con.create_function("word_crcs", words, ["VARCHAR[]"], "STRUCT(alone UINTEGER, behind UINTEGER, size UINTEGER)[]", type="arrow")
+    con.create_function("join_crc", joined, ["UINTEGER", "UINTEGER", "UINTEGER"], "UINTEGER", type="arrow", null_handling="special")
     return con
 
 
@@ -100,7 +157,7 @@ def bucket_counts(docs: DataFrame, longest: int = 3, buckets: int = 10_000, key:
         for place, text in enumerate(byte_texts(part.column("text"))):
             for carried, stretch in _stretches(text, longest):
                 # one stretch of a text at a time, for a step tells texts apart by their place
-                if held and (carried or size + len(stretch) > 2 * STEP_BYTES):
+                if held and (carried or size + len(stretch) > STEP_BYTES):
                     flush()
                 held.append((place, carried, stretch))
                 size += len(stretch)
@@ -170,7 +227,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     """
     require(docs, "doc_id", "text")
     require(target, "text")
-    spilled = materialize(bucket_counts(docs, longest, buckets), "bucket-counts")
+    # small batches: JVM and Python each hold some of them beside DuckDB
+    with settings(docs.sparkSession, arrow_batches(2_000, 2 * STEP_BYTES)):
+        spilled = materialize(bucket_counts(docs, longest, buckets), "bucket-counts")
     wanted = bucket_counts(target.select(F.lit(0).alias("doc_id"), "text"), longest, buckets)
     gains = bucket_gains(corpus_counts(spilled), corpus_counts(wanted), buckets)
     score = F.col("weight") + gumbel(F.col("doc_id"), seed)

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from docketry.llm import queries as q
 from docketry.llm import resampling
@@ -88,3 +89,34 @@ def test_numbers_of_all_rows(spark):
     got = number_all(df, [df.v.desc()]).collect()
     assert sorted((r.v, r.row_no) for r in got) == [(v, 5000 - v) for v in range(5000)]
     assert number_all(df.limit(0), [df.v.desc()]).collect() == []
+
+
+def test_checksums_are_joined():
+    """Only distinct words are hashed as strings; every n-gram once was."""
+    texts = ["one two three one two three one two", "", "é ü one", "x" * 300 + " two " + "y" * 70_000, "- -"]
+    calls = []
+    con = resampling._connect()
+    con.register("step", pa.table({"place": pa.array(range(len(texts)), pa.int32()), "carried": pa.array([0, 0, 1, 0, 0], pa.int32()), "text": texts}))
+    crc32 = zlib.crc32
+    try:
+        resampling.zlib.crc32 = lambda x, *start: calls.append(x) or crc32(x, *start)
+        got = con.execute(resampling._ngram_sql(3, 10_000)).fetchall()
+    finally:
+        resampling.zlib.crc32 = crc32
+    assert len(calls) <= len({w for t in texts for w in WORD.findall(t)})
+    want = {}
+    for place, text in enumerate(texts):
+        words = WORD.findall(text)
+        for k in range(3):
+            for i in range(len(words) - k):
+                if i + k >= (place == 2):
+                    cell = want.setdefault((place, crc32(" ".join(words[i : i + k + 1]).encode()) % 10_000), [0, 0])
+                    cell[0], cell[1] = cell[0] + 1, cell[1] + (k == 0)
+    assert sorted(got) == sorted((*at, *cell) for at, cell in want.items())
+
+
+def test_joined_checksums_of_any_length():
+    parts = [(b"", b""), (b"a", b""), (b"", b"bc"), (b"one ", b"two"), (b"x" * 999, b"\x00" * 70_001)]
+    number = lambda of: np.array([zlib.crc32(x) for x in of], np.uint32)
+    got = resampling.join_crc(number(a for a, _ in parts), number(b for _, b in parts), np.array([len(b) for _, b in parts]))
+    assert got.tolist() == [zlib.crc32(a + b) for a, b in parts] and resampling.join_crc(number([]), number([]), np.array([], int)).tolist() == []
