@@ -5,6 +5,8 @@ import json
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from docketry.functions.stem import STOP_WORDS
 from docketry.operators import alerts
 
@@ -64,3 +66,21 @@ def test_events_and_digests_come_once(spark, tmp_path):
     log.record(made(4), 2)
     made(9).select("user_id", "subscription_id", "event_id", "document_id").write.parquet(str(tmp_path / "a/digests/run=4"))
     assert sent(4) == ["e4"]
+
+
+def test_a_common_word_meets_by_all_fields(spark):
+    """Many wait at one word that all rulings have, each in its own county: pairs don't grow with both."""
+    rulings = [(f"d{k}", f"c{k}", None, "k", f"county {k % 40}", "granted", "msj", None, "motion of the kind " + ("promo" if k % 3 else "large"), AT) for k in range(400)]
+    subs = [(f"s{k}", "u", "keyword", json.dumps({"keyword": "motion promo", "county": f"county {k}"}), True) for k in range(40)]
+    subs += [("odd", "u", "keyword", '{"keyword": "motion", "county": "1:county 1|"}', True), ("moot", "u", "keyword", '{"keyword": "motion", "outcome": "moot"}', True)]
+    table, waits = spark.createDataFrame(rulings, RULING), alerts.waiting(alerts.subscriptions(spark.createDataFrame(subs, SUBSCRIPTION)))
+    rows = alerts._said(table.select("*", F.col("party_ids").alias("parties"), F.split("ruling_text", " ").alias("words")), waits)
+    assert alerts.met(rows, waits).count() == 400
+    want = {(f"s{k % 40}", f"d{k}") for k in range(400) if k % 3}
+    assert {(r.subscription_id, r.document_id) for r in alerts.triggered(table, waits).collect()} == want
+
+
+def test_more_shapes_and_words_than_the_driver_holds(spark, monkeypatch):
+    monkeypatch.setattr(alerts, "FEW", 0)
+    test_all_kinds_against_brute_force(spark)
+    test_a_common_word_meets_by_all_fields(spark)
