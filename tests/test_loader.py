@@ -139,3 +139,15 @@ def test_merging_is_associative(spark):
     part = F.pmod(F.hash("a"), F.lit(3))
     some = [keyed.merged(df.where(part == n), rule) for n in range(3)]
     assert sorted(map(str, keyed.merged(some[2].unionByName(keyed.merged(some[0].unionByName(some[1]), rule)), rule).collect())) == once
+
+
+def test_columns_of_a_table_are_those_of_the_whole(spark, sf):
+    from docketry.plans.catalog import _loaded
+
+    base = _loaded(spark, sf)
+    few = load.read_log(spark, base, "rulings", ("case_id", "outcome"))
+    assert few.columns == [c for c in load.read_log(spark, base, "rulings").columns if c in ("document_id", "case_id", "outcome")]
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "ruling_text" not in plan.split("Relation")[0] and "raw_judge" not in plan.split("Relation")[0]
+    whole = load.read_log(spark, base, "rulings").select(*few.columns)
+    assert few.exceptAll(whole).count() == 0 and whole.exceptAll(few).count() == 0
